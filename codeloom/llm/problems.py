@@ -6,9 +6,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm.leakage import leaked_items
+from codeloom.llm.packing import pack_windows, token_count, window_report
+from codeloom.llm.quality import document_statistics, label_documents, not_prose
 from codeloom.sources.tables import table
 
 
+def p7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(token_count(F.col("text")), F.lit(0)).cast("long").alias("tokens"))
+
+
+def p7_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window for each document (or part) and budget."""
+    return pack_windows(p7_token_counts(spark, sf_dir), table(spark, sf_dir, "budgets").withColumnRenamed("capacity_tokens", "capacity"))
+
+
+def p7_window_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_report(p7_windows(spark, sf_dir))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
@@ -19,4 +34,19 @@ def p8_item_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(table(spark, sf_dir, "eval_items").select("item_id", "category"), "item_id").select("item_id", "category", "n_documents")
 
 
-QUERIES = {f.__name__: f for f in (p8_found, p8_item_report)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_prose(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels"))
+
+
+def p9_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document, in any language."""
+    stats = document_statistics(table(spark, sf_dir, "documents"))
+    return stats.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in stats.dtypes])
+
+
+def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture's label of every natural-language document."""
+    return label_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).select("doc_id", "label")
+
+
+QUERIES = {f.__name__: f for f in (p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}

@@ -5,4 +5,10 @@ from __future__ import annotations
 from codeloom.llm import problems
 
 QUERIES = {**problems.QUERIES}
-SQL: dict[str, str] = {}
+SQL = {
+    "p7_token_counts": r"""
+SELECT doc_id, coalesce(len(regexp_extract_all(text,
+  '[A-Za-z_][A-Za-z0-9_]*|[0-9]+|[^\t\n\v\f\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]')), 0)::BIGINT AS tokens
+FROM documents
+""",
+}
