@@ -5,12 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.functions.cleaning import status, trimmed
+from codeloom.llm.docpairs import documented_functions
 from codeloom.llm.leakage import leaked_items
 from codeloom.llm.packing import pack_windows, token_count, window_report
 from codeloom.llm.quality import document_statistics, label_documents, not_prose
+from codeloom.operators.latest import latest_by
 from codeloom.sources.tables import table
 
 
+def _documented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = trimmed(F.col("qualified_name")).alias("qualified_name")
+    units = table(spark, sf_dir, "code_units").select(name, "path", "source_text", F.col("loaded_at").alias("version"))
+    kinds = table(spark, sf_dir, "symbols").select(name, status(F.col("kind")).alias("kind"), F.col("loaded_at").alias("version"))
+    return documented_functions(units, kinds)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documented(spark, sf_dir).select("qualified_name")
+
+
+def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and description of each function documented in earnest."""
+    units = table(spark, sf_dir, "code_units").select(trimmed(F.col("qualified_name")).alias("qualified_name"), "loaded_at", "source_text")
+    code = latest_by(units.where("qualified_name is not null"), ["qualified_name"], "loaded_at", ["source_text"])
+    return _documented(spark, sf_dir).join(code, "qualified_name").select("qualified_name", F.col("source_text").alias("code"), "description")
+
+
 def p7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(token_count(F.col("text")), F.lit(0)).cast("long").alias("tokens"))
 
@@ -49,4 +70,4 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).select("doc_id", "label")
 
 
-QUERIES = {f.__name__: f for f in (p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
