@@ -9,7 +9,7 @@ reversed: each removed node takes root, depth and path from the node it hung on.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from codeloom.operators.skew import hot_keys, salted_join
@@ -27,6 +27,17 @@ def _above(a: Column, b: Column) -> Column:
     return (_rank(a) > _rank(b)) | ((_rank(a) == _rank(b)) & (a > b))
 
 
+def _lifted(step: DataFrame, paths: bool) -> DataFrame:
+    """The rows of a round with children of compressed nodes handed to the node above."""
+    up = step.where("act = 'compress'").select(
+        F.col("child").alias("v"), F.col("p").alias("up"), F.col("w").alias("up_w"), *([F.col("seg").alias("up_seg")] if paths else [])
+    )
+    seg = [F.when(F.col("up_seg").isNull(), F.col("seg")).otherwise(F.concat("up_seg", "seg")).alias("seg")] if paths else []
+    return step.join(up, "v", "left").select(
+        "v", F.coalesce("up", "p").alias("p"), (F.col("w") + F.coalesce("up_w", F.lit(0))).alias("w"), *seg, "child", "act"
+    )
+
+
 def build_hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     """Resolve ``links`` (name, parent) to (name, status, top, steps[, path]).
 
@@ -61,19 +72,13 @@ def build_hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
         under = live.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("child")).withColumnRenamed("p", "v")
         unary = (F.col("n") == 1) & (F.col("v") != F.col("p")) & _above(F.col("v"), F.col("child")) & _above(F.col("v"), F.col("p"))
         act = F.when(F.col("n").isNull(), F.lit("rake")).when(unary, F.lit("compress")).otherwise(F.lit("keep"))
-        step = work.write(live.join(under, "v", "left").withColumn("act", act).drop("n"), f"round{k}")
-        done = step.where("act <> 'keep'").isEmpty()
-        if done:
+        seen = Observation()
+        step = live.join(under, "v", "left").withColumn("act", act).drop("n").observe(seen, F.count_if(F.col("act") != "keep").alias("removed"))
+        step = work.write(step, f"round{k}")
+        if not seen.get.get("removed"):
             break
         rounds.append(step)
-        lifted = step.where("act = 'compress'").select(F.col("child").alias("v"), F.col("p").alias("up"), F.col("w").alias("up_w"), *([F.col("seg").alias("up_seg")] if paths else []))
-        live = step.where("act = 'keep'").drop("act", "child").join(lifted, "v", "left")
-        live = live.select(
-            "v",
-            F.coalesce("up", "p").alias("p"),
-            (F.col("w") + F.coalesce("up_w", F.lit(0))).alias("w"),
-            *([F.when(F.col("up_seg").isNull(), F.col("seg")).otherwise(F.concat("up_seg", "seg")).alias("seg")] if paths else []),
-        )
+        live = _lifted(step, paths).where("act = 'keep'").drop("act", "child")
 
     core = step.where("act = 'keep'").select(F.col("v").alias("id"), F.lit(CYCLE).alias("kind"), F.col("v").alias("anchor"), F.lit(0).alias("steps"), F.lit(True).alias("on_cycle"))
     roots = nodes.where("parent is null").select("id", F.lit(ROOT).alias("kind"), F.col("id").alias("anchor"), F.lit(0).alias("steps"), F.lit(False).alias("on_cycle"))
@@ -84,28 +89,24 @@ def build_hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
         placed = placed.where(F.col("kind") == ROOT).join(names, "id").unionAll(placed.where(F.col("kind") == BROKEN).join(top, "id")).unionAll(
             placed.where(F.col("kind") == CYCLE).withColumn("path", F.lit(None).cast("array<string>"))
         )
-    placed = work.write(placed, "placed")
+    placed = work.append(placed, "placed", len(rounds))
 
-    value = ["kind", "anchor", "steps", "on_cycle", *(["path"] if paths else [])]
-    down = [F.col("id").alias("p"), *value]
-    seg = ["seg"] if paths else []
+    down = [F.col("id").alias("p"), "kind", "anchor", "steps", *(["path"] if paths else [])]
     hung = [
         F.col("v").alias("id"),
         "kind",
         "anchor",
-        F.when(F.col("on_v"), F.lit(0)).otherwise(F.col("steps") + F.col("w")).alias("steps"),
+        F.when(F.col("on_v"), F.lit(0)).otherwise(F.col("steps") + F.col("w")).cast("int").alias("steps"),
         F.col("on_v").alias("on_cycle"),
         *([F.when(F.col("kind") != CYCLE, F.concat("path", "seg")).alias("path")] if paths else []),
     ]
     for k in reversed(range(len(rounds))):
-        step = rounds[k]
-        # Compressed nodes first: on a cycle exactly if the only child they had is.
+        # A compressed node is on a cycle exactly if the only child it had is.
         by_child = placed.where("on_cycle").select(F.col("id").alias("child"), F.lit(True).alias("on_v"))
-        squeezed = step.where("act = 'compress'").select("v", "p", "w", "child", *seg).join(by_child, "child", "left").withColumn("on_v", F.coalesce("on_v", F.lit(False)))
-        back = work.write(squeezed.join(placed.select(*down), "p").select(*hung), f"back{k}")
-        known = placed.unionAll(back)
-        raked = salted_join(step.where("act = 'rake'").select("v", "p", "w", *seg), known.select(*down), ["p"], hot_ids, "v").withColumn("on_v", F.lit(False))
-        placed = known.unionAll(work.write(raked.select(*hung), f"raked{k}"))
+        removed = _lifted(rounds[k], paths).where("act <> 'keep'")
+        removed = removed.join(by_child, "child", "left").withColumn("on_v", F.coalesce("on_v", F.lit(False)))
+        back = salted_join(removed, placed.select(*down), ["p"], hot_ids, "v")
+        placed = work.append(back.select(*hung), "placed", k)
 
     # The anchor's name: a root's own, a broken chain's missing parent, a cycle's smallest.
     tops = nodes.select(F.col("id").alias("anchor"), F.col("name").alias("own"), F.col("parent").alias("missing"))

@@ -38,6 +38,8 @@ def with_copies(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, spread: str, how: str = "inner") -> DataFrame:
-    """``left`` join ``right`` on ``keys`` where ``hot`` (from :func:`hot_keys`) lists the skewed keys of ``left``."""
+    """``left`` join ``right`` on ``keys`` where ``hot`` (a written :func:`hot_keys`) lists the skewed keys of ``left``."""
+    if hot.isEmpty():
+        return left.join(right, list(keys), how)
     joined = with_salt(left, keys, hot, spread).join(with_copies(right, keys, hot), [*keys, "_salt"], how)
     return joined.drop("_salt")

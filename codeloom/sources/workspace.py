@@ -44,6 +44,12 @@ class Workspace:
         writer.parquet(f"{self.root}/{name}")
         return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
 
+    def append(self, df: DataFrame, name: str, part: int) -> DataFrame:
+        """Like :meth:`write`, as one part of the table ``name``; returns a reader of all parts so far."""
+        schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}/part={part}")
+        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}").drop("part")
+
     def drop(self, name: str) -> None:
         """Remove a table that nothing will read again."""
         self._fs.delete(self._path(f"{self.root}/{name}"), True)

@@ -17,7 +17,6 @@ The latest verdict of a reference holds.  Hot names are salted.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +131,7 @@ def replay_orphans(references: DataFrame, parents: DataFrame, *, keep: tuple[str
     versions = work.write(versions, "versions")
 
     index: DataFrame | None = None
-    log = []
+    log = None
     for p in periods:
         # Merge: the latest version per key and source; a key is touched if a version arrived.
         rows = versions.where(F.col("period") == p).select(*KEY, "life", F.lit(True).alias("fresh"))
@@ -150,5 +149,5 @@ def replay_orphans(references: DataFrame, parents: DataFrame, *, keep: tuple[str
         old = refs.where((F.col("period") < p) & ~F.col("no_target")).join(touched, [*KEY, "_salt"])
         old = old.withColumn("reason", _verdict(F.col("lives"), F.col("at")))
         verdict = [F.col("ref_id"), F.lit(p).alias("period"), F.col("reason")]
-        log.append(work.write(new.select(*verdict).unionAll(old.select(*verdict)), f"log{p}"))
-    return OrphanLog(reduce(DataFrame.unionAll, log), refs, periods)
+        log = work.append(new.select(*verdict).unionAll(old.select(*verdict)), "log", p)
+    return OrphanLog(log, refs, periods)
