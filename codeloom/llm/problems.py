@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.cleaning import status, trimmed
 from codeloom.llm.docpairs import documented_functions
 from codeloom.llm.leakage import leaked_items
+from codeloom.llm.neighbours import nearest_neighbours, similar_pairs
 from codeloom.llm.packing import pack_windows, token_count, window_report
 from codeloom.llm.quality import document_statistics, label_documents, not_prose
 from codeloom.operators.latest import latest_by
@@ -32,6 +33,20 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _documented(spark, sf_dir).join(code, "qualified_name").select("qualified_name", F.col("source_text").alias("code"), "description")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(nearest_neighbours(table(spark, sf_dir, "reuse_vectors")))
+
+
+def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar vectors of each usable vector, with their names."""
+    vectors = table(spark, sf_dir, "reuse_vectors")
+    names = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min(trimmed(F.col("qualified_name"))).alias("name"))
+    near = nearest_neighbours(vectors)
+    near = near.join(names.withColumnRenamed("name", "qualified_name"), "vec_id", "left")
+    near = near.join(names.select(F.col("vec_id").alias("neighbour"), F.col("name").alias("neighbour_name")), "neighbour", "left")
+    return near.select("vec_id", "qualified_name", "rank", "neighbour", "neighbour_name", F.round("cosine", 6).alias("cosine"))
+
+
 def p7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(token_count(F.col("text")), F.lit(0)).cast("long").alias("tokens"))
 
@@ -70,4 +85,4 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).select("doc_id", "label")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_neighbours, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
