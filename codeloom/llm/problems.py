@@ -11,10 +11,25 @@ from codeloom.llm.leakage import leaked_items
 from codeloom.llm.neighbours import nearest_neighbours, similar_pairs
 from codeloom.llm.packing import pack_windows, token_count, window_report
 from codeloom.llm.quality import document_statistics, label_documents, not_prose
+from codeloom.llm.syntax_check import check_files, error_rates
 from codeloom.operators.latest import latest_by
 from codeloom.sources.tables import table
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = check_files(table(spark, sf_dir, "file_contents")).where("has_syntax_errors and file_id is not null")
+    return found.select("file_id").distinct()
+
+
+def p2_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of every file, with the failing token."""
+    return check_files(table(spark, sf_dir, "file_contents"))
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return error_rates(check_files(table(spark, sf_dir, "file_contents")))
+
+
 def _documented(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = trimmed(F.col("qualified_name")).alias("qualified_name")
     units = table(spark, sf_dir, "code_units").select(name, "path", "source_text", F.col("loaded_at").alias("version"))
@@ -85,4 +100,4 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).select("doc_id", "label")
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_pairs, p5_found, p5_neighbours, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_rates, p4_found, p4_pairs, p5_found, p5_neighbours, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
