@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codeloom.plans import problems
+from codeloom.plans import problems, reference
 from codeloom.plans.problem_sql import SQL as PROBLEM_SQL
 
-QUERIES = {**problems.QUERIES}
+QUERIES = {**reference.QUERIES, **problems.QUERIES}
 SQL = {**PROBLEM_SQL}
-FLAGSHIP = "p1_found"
+FLAGSHIP = "hybrid_search"
