@@ -37,13 +37,19 @@ def tokenized(docs: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return docs.select(key, joined.alias("tokens")).withColumn("dl", F.size("tokens") - (len(columns) - 1))
 
 
+def _grams(n: int):
+    """All runs of ``n`` tokens; null where there are fewer."""
+    if n == 1:
+        return F.col("tokens")
+    starts = F.sequence(F.lit(1), F.size("tokens") - (n - 1))
+    return F.when(F.size("tokens") >= n, F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, n), " ")))
+
+
 def phrase_hits(tokens: DataFrame, key: str, phrases: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """(key, phrase, tf, dl) of the documents that hold a phrase."""
     grams = None
     for n in lengths:
-        at = F.sequence(F.lit(1), F.size("tokens") - (n - 1))
-        gram = F.when(F.size("tokens") >= n, F.transform(at, lambda i, n=n: F.array_join(F.slice("tokens", i, n), " "))) if n > 1 else F.col("tokens")
-        part = tokens.select(key, "dl", F.explode(gram).alias("phrase"))
+        part = tokens.select(key, "dl", F.explode(_grams(n)).alias("phrase"))
         grams = part if grams is None else grams.unionAll(part)
     hits = grams.join(phrases.select("phrase").distinct(), "phrase")
     return hits.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))

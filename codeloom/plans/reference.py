@@ -304,7 +304,7 @@ def _ranks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def first_relevant_ranks(spark: SparkSession, d: str) -> DataFrame:
-    return _ranks(spark, d)
+    return _ranks(spark, d).withColumn("rank", F.col("rank").cast("double"))
 
 
 def ranking_metrics(spark: SparkSession, d: str) -> DataFrame:
