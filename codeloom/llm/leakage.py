@@ -37,7 +37,7 @@ class ItemIndex:
         self.ids, texts = [], []
         for item_id, text in items:
             found = words(text or "")
-            if found:
+            if len(found) >= size:
                 self.ids.append(item_id)
                 texts.append(found)
         self.vocabulary: dict[str, int] = {}
@@ -50,11 +50,9 @@ class ItemIndex:
         self.least = min(self.need, default=1)
 
     def codes(self, x: np.ndarray) -> np.ndarray:
-        """A number for each shingle; items shorter than a shingle have one, padded with 0."""
-        if len(x) < self.size:
-            x = np.concatenate([x, np.zeros(self.size - len(x), dtype=np.int64)])
+        """A number for each shingle."""
         x = x.astype(np.uint64)
-        n = len(x) - self.size + 1
+        n = max(0, len(x) - self.size + 1)
         code = np.zeros(n, dtype=np.uint64)
         for k in range(self.size):
             code = code * np.uint64(self.base) + x[k : k + n]
@@ -81,13 +79,11 @@ def _hits(index: ItemIndex, batches: Iterator[pd.DataFrame]) -> Iterator[pd.Data
         rows = []
         for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
             x = np.array([get(w, 0) for w in words(text)], dtype=np.int64)
-            if not x.size or not len(index.shingles):
+            if len(x) < index.size or not len(index.shingles):
                 continue
             codes = index.codes(x)
             at = np.minimum(np.searchsorted(index.shingles, codes), len(index.shingles) - 1)
             hit = np.flatnonzero(index.shingles[at] == codes)
-            if index.size > 1 and len(x) >= index.size and hit.size:
-                hit = hit[x[hit] > 0]
             if len(hit) >= index.least:
                 rows.append((doc_id, x.astype(np.int32), hit.astype(np.int32), at[hit].astype(np.int32)))
         yield pd.DataFrame(rows, columns=["doc_id", "words", "at", "shingle"])
@@ -177,8 +173,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, items_per_block: int =
     """(doc_id, item_id): documents that hold at least about half of an item's words in its order.
 
     ``documents``: doc_id, text; ``items``: item_id, text; other columns are
-    ignored.  Null or blank texts hold nothing and, as items, are never found; a
-    doc_id or item_id given several times counts if any of its texts match, once.
+    ignored.  Null or blank texts hold nothing; items of fewer words than a shingle
+    (four) are never found.  A doc_id or item_id given several times counts if any of its texts match, once.
     Whole texts are read.  Items are the stated query set: they are taken in blocks
     of ``items_per_block``, each block's index goes to the tasks and all documents
     are held against it.

@@ -38,6 +38,8 @@ MAX_LABELLED = 20_000
 COMPONENTS_PER_LABEL = 3
 STEPS = 12
 MIN_POSTERIOR = 1e-4
+#: A wide component for texts that are unlike all others; it keeps its shape and counts as junk.
+BACKGROUND_WEIGHT, BACKGROUND_VARIANCE = 1e-3, 30.0
 
 _BULLET = re.compile(r"\s*(?:[-*+•]|\d+(?:\.\d+)*[.)]?|[├└│]|\[[ x]\])\s")
 _TABLE = re.compile(r"\|.*\||\t.*\S|\S {2,}\S.* {2,}\S|(?:[^,;]{1,40}[,;]){3}|<t[dr]>|^[+|=-]{4,}")
@@ -138,6 +140,12 @@ class Mixture:
         return p / total, (top + np.log(total))[:, 0]
 
 
+def _with_background(weights: np.ndarray, means: np.ndarray, variances: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    d = means.shape[1]
+    weights = np.append(weights / weights.sum() * (1 - BACKGROUND_WEIGHT), BACKGROUND_WEIGHT)
+    return weights, np.vstack([means, np.zeros((1, d))]), np.vstack([variances, np.full((1, d), BACKGROUND_VARIANCE)])
+
+
 def _spread_centres(x: np.ndarray, k: int) -> np.ndarray:
     """Farthest-point centres, then a few rounds of nearest-mean refinement."""
     centres = [x.mean(0)]
@@ -157,8 +165,8 @@ def fit_mixture(statistics: DataFrame, labelled: DataFrame, *, steps: int = STEP
     ``labelled`` (doc_id, label) with at most ``max_labelled`` rows read gives the
     starting centres and, at the end, the label of each component: the one with
     the most responsibility among the examples.  A component without examples
-    takes the label of the nearest one that has some.  Without any usable example
-    every component is prose.
+    takes the label of the nearest one that has some.  A wide background component
+    takes what is unlike all others.  Without any usable example all is prose.
     """
     names = list(STATISTICS)
     rows = statistics.where("n_visible > 0").select("doc_id", *names)
@@ -176,7 +184,8 @@ def fit_mixture(statistics: DataFrame, labelled: DataFrame, *, steps: int = STEP
     kinds = examples["label"].to_numpy()
     means = np.vstack([_spread_centres(ex[kinds == k], per_label) for k in LABELS if (kinds == k).any()])
     k, d = means.shape
-    model = Mixture(centre, scale, np.full(k, 1 / k), means, np.full((k, d), 0.5), ["prose"] * k)
+    labels = ["prose"] * k + ["junk"]
+    model = Mixture(centre, scale, *_with_background(np.full(k, 1 / k), means, np.full((k, d), 0.5)), labels)
     last = -np.inf
     for _ in range(steps):
 
@@ -186,6 +195,7 @@ def fit_mixture(statistics: DataFrame, labelled: DataFrame, *, steps: int = STEP
                 if not len(x):
                     continue
                 r, like = model.posteriors(x)
+                r = r[:, :k]
                 z = (x - model.centre) / model.scale
                 part = np.concatenate([[like.sum(), len(x)], r.sum(0), (r.T @ z).ravel(), (r.T @ z**2).ravel()])
                 yield pd.DataFrame({"i": np.arange(len(part)), "v": part})
@@ -196,7 +206,7 @@ def fit_mixture(statistics: DataFrame, labelled: DataFrame, *, steps: int = STEP
         second = got[2 + k + k * d :].reshape(k, d)
         mean = first / mass[:, None]
         variance = np.maximum(second / mass[:, None] - mean**2, 1e-2)
-        model = Mixture(centre, scale, np.maximum(mass / n, 1e-6), mean, variance, model.labels)
+        model = Mixture(centre, scale, *_with_background(np.maximum(mass / n, 1e-6), mean, variance), labels)
         if abs(like - last) < 1e-4 * abs(like):
             break
         last = like
@@ -204,7 +214,7 @@ def fit_mixture(statistics: DataFrame, labelled: DataFrame, *, steps: int = STEP
     votes = np.array([[r[kinds == label, j].sum() for label in LABELS] for j in range(k)])
     has = votes.sum(1) >= 0.5
     for j in range(k):
-        source = j if has[j] or not has.any() else int(np.where(has, ((model.means - model.means[j]) ** 2).sum(1), np.inf).argmin())
+        source = j if has[j] or not has.any() else int(np.where(has, ((model.means[:k] - model.means[j]) ** 2).sum(1), np.inf).argmin())
         model.labels[j] = LABELS[int(votes[source].argmax())]
     return model
 

@@ -17,7 +17,7 @@ _LOOKALIKES = str.maketrans(LOOKALIKES)
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20f0]")
 _TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
-_UNICODE_ESCAPE = re.compile(r"\\+(?:u\{?([0-9A-Fa-f]{4,6})\}?|x([0-9A-Fa-f]{2}))")
+_UNICODE_ESCAPE = re.compile(r"\\+(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 _ESCAPE = re.compile(r"\\+[abfnrtv0\"'/]")
 _PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-\u2010\u2011]\s*\n[\s>#*/|;-]*(?=[^\W\d_])")
@@ -26,7 +26,7 @@ _ASCII_WORD = re.compile(r"[a-z0-9]+")
 
 
 def _char(match: re.Match) -> str:
-    code = int(match[1] or match[2], 16)
+    code = int(match[1] or match[2] or match[3], 16)
     return chr(code) if 32 <= code < 0x110000 and not 0xD800 <= code < 0xE000 else " "
 
 
