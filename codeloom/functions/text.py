@@ -27,7 +27,8 @@ def _fold_table() -> tuple[str, str]:
 def search_tokens(c: Column) -> Column:
     """Runs of letters and digits, lower case, without diacritics; null and blank give an empty array."""
     letters, plain = _fold_table()
-    folded = F.translate(F.lower(F.coalesce(c, F.lit(""))), letters, plain)
+    lower = F.lower(F.coalesce(c, F.lit("")))
+    folded = F.when(lower.rlike(r"[^\x00-\x7f]"), F.translate(lower, letters, plain)).otherwise(lower)
     return F.regexp_extract_all(folded, F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 

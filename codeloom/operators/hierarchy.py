@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import hot_keys, salted_join
+from codeloom.operators.skew import found_hot, hot_keys, salted_join
 from codeloom.sources.workspace import Workspace
 
 ROOT, BROKEN, CYCLE = "rooted", "broken", "cycle"
@@ -58,13 +58,13 @@ def build_hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     nodes = work.write(nodes.select(F.monotonically_increasing_id().alias("id"), "name", "parent"), "nodes")
 
     ids = nodes.select(F.col("id").alias("p"), F.col("name").alias("parent"))
-    hot = work.write(hot_keys(nodes.where("parent is not null"), ["parent"]), "hot_names")
+    hot = found_hot(work.write(hot_keys(nodes.where("parent is not null"), ["parent"]), "hot_names"))
     children = salted_join(nodes.where("parent is not null"), ids, ["parent"], hot, "id", "left")
     segment = [F.array("name").alias("seg")] if paths else []
     edges = work.write(children.select(F.col("id").alias("v"), "p", "parent", F.lit(1).alias("w"), *segment), "edges")
     broken = edges.where("p is null").select(F.col("v").alias("id"), F.lit(BROKEN).alias("kind"), F.col("v").alias("anchor"), F.lit(1).alias("steps"), F.lit(False).alias("on_cycle"))
     live = edges.where("p is not null").drop("parent")
-    hot_ids = work.write(hot_keys(live, ["p"]), "hot_ids")
+    hot_ids = found_hot(work.write(hot_keys(live, ["p"]), "hot_ids"))
 
     rounds = []
     while True:
@@ -115,7 +115,7 @@ def build_hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     used = placed.select("anchor", "kind").distinct().join(tops, "anchor").join(least, "anchor", "left")
     used = used.select("anchor", F.when(F.col("kind") == CYCLE, F.col("least")).when(F.col("kind") == BROKEN, F.col("missing")).otherwise(F.col("own")).alias("top"))
     used = work.write(used, "tops")
-    hot_tops = work.write(hot_keys(placed, ["anchor"]), "hot_tops")
+    hot_tops = found_hot(work.write(hot_keys(placed, ["anchor"]), "hot_tops"))
     out = salted_join(placed, used, ["anchor"], hot_tops, "id").join(nodes.select("id", "name"), "id")
     state = F.when(F.col("on_cycle"), F.lit("on_cycle")).when(F.col("kind") == CYCLE, F.lit("below_cycle")).otherwise(F.col("kind"))
     return out.select("name", state.alias("status"), "top", F.col("steps").cast("int").alias("steps"), *(["path"] if paths else []))

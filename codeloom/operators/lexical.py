@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import search_tokens
+from codeloom.sources.workspace import Workspace
 
 K1, B = 1.2, 0.75
 _BREAK = "\u0001"
@@ -38,19 +39,17 @@ def tokenized(docs: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def _grams(n: int):
-    """All runs of ``n`` tokens; null where there are fewer."""
-    if n == 1:
-        return F.col("tokens")
-    starts = F.sequence(F.lit(1), F.size("tokens") - (n - 1))
-    return F.when(F.size("tokens") >= n, F.transform(starts, lambda i: F.array_join(F.slice("tokens", i, n), " ")))
+    """All runs of ``n`` tokens; empty where there are fewer."""
+    grams = F.col("tokens")
+    for k in range(2, n + 1):
+        after = F.slice("tokens", F.lit(k), F.greatest(F.size("tokens") - (k - 1), F.lit(0)))
+        grams = F.zip_with(F.slice(grams, F.lit(1), F.greatest(F.size("tokens") - (k - 1), F.lit(0))), after, lambda x, y: F.concat(x, F.lit(" "), y))
+    return grams
 
 
 def phrase_hits(tokens: DataFrame, key: str, phrases: DataFrame, lengths: Sequence[int]) -> DataFrame:
     """(key, phrase, tf, dl) of the documents that hold a phrase."""
-    grams = None
-    for n in lengths:
-        part = tokens.select(key, "dl", F.explode(_grams(n)).alias("phrase"))
-        grams = part if grams is None else grams.unionAll(part)
+    grams = tokens.select(key, "dl", F.explode(F.concat(*[_grams(n) for n in lengths])).alias("phrase"))
     hits = grams.join(phrases.select("phrase").distinct(), "phrase")
     return hits.groupBy(key, "phrase").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
@@ -66,7 +65,7 @@ def lexical_search(queries: DataFrame, docs: DataFrame, key: str, columns: Seque
     lengths = [r["length"] for r in phrases.select("length").distinct().orderBy("length").collect()]  # a handful
     if not lengths:
         return queries.limit(0).select("query_id", F.lit("").alias(key), F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
-    tokens = tokenized(docs, key, columns)
+    tokens = Workspace(queries.sparkSession, "lexical").write(tokenized(docs, key, columns), "tokens")
     whole = tokens.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     hits = phrase_hits(tokens, key, phrases, lengths)
     frequency = hits.groupBy("phrase").agg(F.count(F.lit(1)).alias("df"))

@@ -37,9 +37,14 @@ def with_copies(df: DataFrame, keys: Sequence[str], hot: DataFrame) -> DataFrame
     return df.join(F.broadcast(hot), list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_salts")
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame, spread: str, how: str = "inner") -> DataFrame:
-    """``left`` join ``right`` on ``keys`` where ``hot`` (a written :func:`hot_keys`) lists the skewed keys of ``left``."""
-    if hot.isEmpty():
+def found_hot(hot: DataFrame) -> DataFrame | None:
+    """A written :func:`hot_keys`, or None if no key is hot."""
+    return None if hot.isEmpty() else hot
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hot: DataFrame | None, spread: str, how: str = "inner") -> DataFrame:
+    """``left`` join ``right`` on ``keys`` where ``hot`` (from :func:`found_hot`) lists the skewed keys of ``left``."""
+    if hot is None:
         return left.join(right, list(keys), how)
     joined = with_salt(left, keys, hot, spread).join(with_copies(right, keys, hot), [*keys, "_salt"], how)
     return joined.drop("_salt")
