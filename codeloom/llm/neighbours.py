@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from codeloom.operators.skew import hot_keys, salted_join
+from codeloom.operators.skew import found_hot, hot_keys, salted_join
 from codeloom.sources.workspace import Workspace
 
 DIMENSION = 64
@@ -203,8 +203,9 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, *, probes: int = PROBES,
     classes = work.write(keyed.groupBy("model_id", "h1", "h2").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("size"), F.min("v").alias("v")), "classes")
     copied = classes.where("size > 1").select("model_id", "h1", "h2", F.col("vec_id").alias("rep"), "size")
     single = classes.where("size = 1").select("vec_id", F.col("vec_id").alias("rep"), F.lit(1).cast("long").alias("size"))
-    copies_hot = work.write(hot_keys(copied.select("model_id", "h1", "h2").join(keyed.select("model_id", "h1", "h2"), ["model_id", "h1", "h2"]), ["model_id", "h1", "h2"]), "hot")
-    members = salted_join(keyed.drop("v"), copied, ["model_id", "h1", "h2"], copies_hot, "vec_id").select("vec_id", "rep", "size")
+    by_class = ["model_id", "h1", "h2"]
+    copies_hot = found_hot(work.write(hot_keys(keyed.join(copied.select(*by_class), by_class), by_class), "hot"))
+    members = salted_join(keyed.drop("v"), copied, by_class, copies_hot, "vec_id").select("vec_id", "rep", "size")
     members = work.write(members.unionAll(single), "members")
 
     reps = classes.select("model_id", "vec_id", "v")
@@ -239,11 +240,11 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, *, probes: int = PROBES,
     # Copies: a class offers its k + 1 smallest ids, and they come before any other class.
     offered = members.withColumn("r", F.row_number().over(W.partitionBy("rep").orderBy("vec_id"))).where(F.col("r") <= k + 1).select("rep", F.col("vec_id").alias("neighbour"))
     offered = work.write(offered, "offered")
-    hot = work.write(hot_keys(members, ["rep"]), "hot_classes")
+    hot = found_hot(work.write(hot_keys(members, ["rep"]), "hot_classes"))
     inner = salted_join(members.where("size > 1"), offered, ["rep"], hot, "vec_id").where("vec_id <> neighbour").select("vec_id", "neighbour", F.lit(1.0).alias("cosine"), F.lit(0).alias("level"))
     outer = members.where(F.col("size") <= k).join(best.withColumnRenamed("query", "rep"), "rep").select("vec_id", F.col("found").alias("rep"), "cosine")
-    found_hot = work.write(hot_keys(outer, ["rep"]), "hot_found")
-    outer = salted_join(outer, offered, ["rep"], found_hot, "vec_id").select("vec_id", "neighbour", "cosine", F.lit(1).alias("level"))
+    hot_reps = found_hot(work.write(hot_keys(outer, ["rep"]), "hot_found"))
+    outer = salted_join(outer, offered, ["rep"], hot_reps, "vec_id").select("vec_id", "neighbour", "cosine", F.lit(1).alias("level"))
     rank = F.row_number().over(W.partitionBy("vec_id").orderBy("level", F.desc("cosine"), "neighbour"))
     return inner.unionAll(outer).withColumn("rank", rank).where(F.col("rank") <= k).select("vec_id", "neighbour", "cosine", "rank")
 

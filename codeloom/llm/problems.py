@@ -49,14 +49,14 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(nearest_neighbours(table(spark, sf_dir, "reuse_vectors")))
+    return similar_pairs(nearest_neighbours(table(spark, sf_dir, "reuse_vectors"), probes=6))
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar vectors of each usable vector, with their names."""
     vectors = table(spark, sf_dir, "reuse_vectors")
     names = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min(trimmed(F.col("qualified_name"))).alias("name"))
-    near = nearest_neighbours(vectors)
+    near = nearest_neighbours(vectors, probes=32, rerank=32)
     near = near.join(names.withColumnRenamed("name", "qualified_name"), "vec_id", "left")
     near = near.join(names.select(F.col("vec_id").alias("neighbour"), F.col("name").alias("neighbour_name")), "neighbour", "left")
     return near.select("vec_id", "qualified_name", "rank", "neighbour", "neighbour_name", F.round("cosine", 6).alias("cosine"))
