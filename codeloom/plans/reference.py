@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from codeloom.functions.cleaning import hex_digest, relative_path, status, trimmed
 from codeloom.functions.text import code_tokens, preview
 from codeloom.operators import context, dense, evaluation, graph, incremental, lexical, resolve
+from codeloom.operators.extract_cpp import cpp_symbols as extract_cpp
+from codeloom.operators.extract_python import python_facts, resolve_python
+from codeloom.operators.extract_python import python_symbols as extract_python
 from codeloom.operators.fusion import fuse
 from codeloom.operators.latest import latest_by
 from codeloom.operators.retrieval import COLUMNS, Corpus
@@ -322,11 +325,30 @@ def gold_missing(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.missing_gold(gold, units_now(spark, d))
 
 
+def _texts(spark: SparkSession, d: str, *extensions: str) -> DataFrame:
+    files = table(spark, d, "file_contents").select(relative_path(F.col("path")).alias("path"), F.regexp_replace("content", "^\ufeff", "").alias("content"))
+    return files.where(F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).isin(*extensions))
+
+
+def python_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return extract_python(_texts(spark, d, "py")).drop("source_text")
+
+
+def python_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Imports, calls, uses and base classes of the checked-out files, resolved against their symbols."""
+    files = _texts(spark, d, "py")
+    return resolve_python(python_facts(files), extract_python(files))
+
+
+def cpp_symbols(spark: SparkSession, d: str) -> DataFrame:
+    return extract_cpp(_texts(spark, d, "cpp", "cc", "cxx", "h", "hh", "hpp", "hxx"))
+
+
 _ALL = (
     lexical_search, lexical_documents, lexical_filtered, token_statistics, path_prefix_counts, dense_search, dense_filtered, vector_norms, unit_fingerprints, corpus_fingerprint, vector_reuse,
     rrf_fusion, hybrid_search, graph_search, graph_support, relation_evidence, channel_rankings, reranked_search, rerank_contributions, context_pack, span_overlap_pairs, unit_token_counts,
     unit_previews, graph_summary, graph_degrees, graph_neighbours, graph_reach, graph_distance_to_module, graph_canonical_edges, graph_dangling, contains_edges, duplicate_symbols, resolve_facts,
     unique_stems, scope_walk, returnable_units, per_file_view, table_counts, change_set, work_counts, incremental_merge, surface_changes, language_mix, first_relevant_ranks, ranking_metrics,
-    ranking_pairs, gold_missing,
+    ranking_pairs, gold_missing, python_symbols, python_relations, cpp_symbols,
 )
 QUERIES = {f.__name__: f for f in _ALL}

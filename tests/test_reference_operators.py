@@ -122,3 +122,46 @@ def test_dense_search_blocks_agree(spark):
     one = {tuple(r) for r in dense.dense_search(q, v, 3).collect()}
     many = {tuple(r) for r in dense.dense_search(q, v, 3, queries_per_block=2).collect()}
     assert one == many and len(one) == 18
+
+
+PY_FILES = [
+    ("pkg/__init__.py", ""),
+    ("pkg/base.py", "class Base:\n    def run(self):\n        return self.step()\n    def step(self): ...\n"),
+    ("pkg/use.py", "import os.path as p\nfrom .base import Base as B\nfrom pkg import base\n\n@deco\nclass D(B, metaclass=M):\n    @prop\n    async def go(self, x=1):\n        self.go()\n        y = base.Base(x)\n        return helper(y)  # done\n\ndef helper(z):\n    def inner():\n        return z\n    if z:\n        class Late: pass\n    return B\n"),
+    ("bad.py", "def f(:\n"),
+]
+
+
+def test_python_extraction(spark):
+    from codeloom.operators.extract_python import python_facts, python_symbols, resolve_python
+
+    files = spark.createDataFrame([(*f, "x") for f in PY_FILES] + [(None, "x", "x"), ("n.py", None, "x")], "path string, content string, kind string")
+    symbols = python_symbols(files).cache()
+    got = {r["qualified_name"]: r for r in symbols.collect()}
+    assert set(got) == {"pkg", "pkg.base", "pkg.base.Base", "pkg.base.Base.run", "pkg.base.Base.step", "pkg.use", "pkg.use.D", "pkg.use.D.go", "pkg.use.helper", "pkg.use.helper.inner", "pkg.use.helper.Late", "bad"}
+    assert got["bad"]["has_syntax_errors"] and got["bad"]["kind"] == "module"
+    assert got["pkg.use.D.go"]["kind"] == "method" and got["pkg.use.helper.inner"]["kind"] == "function"
+    assert got["pkg.use.D.go"]["signature"] == "async def go(self, x=1)"
+    assert got["pkg.use.D.go"]["source_text"].startswith("@prop") and got["pkg.use.D.go"]["source_text"].endswith("# done")
+    edges = {(r["kind"], r["source"], r["target_text"]): (r["target"], r["resolution"]) for r in resolve_python(python_facts(files), symbols).collect()}
+    assert edges["imports", "pkg.use", ".base.Base"] == ("pkg.base.Base", "resolved")
+    assert edges["imports", "pkg.use", "os.path"] == (None, "unresolved")
+    assert edges["inherits", "pkg.use.D", "B"] == ("pkg.base.Base", "resolved")
+    assert edges["inherits", "pkg.use.D", "metaclass=M"][1] == "unresolved"
+    assert edges["calls", "pkg.use.D.go", "self.go"] == ("pkg.use.D.go", "probable")
+    assert edges["calls", "pkg.use.D.go", "base.Base"] == ("pkg.base.Base", "resolved")
+    assert edges["calls", "pkg.use.D.go", "helper"] == ("pkg.use.helper", "resolved")
+    assert edges["references", "pkg.use.helper", "B"] == ("pkg.base.Base", "resolved")
+    assert edges["calls", "pkg.base.Base.run", "self.step"] == ("pkg.base.Base.step", "probable")
+
+
+def test_cpp_extraction(spark):
+    from codeloom.operators.extract_cpp import canonical_parameters, cpp_symbols
+
+    text = 'namespace a::b {\nclass W : public V {\npublic:\n  W(int x) : y(x) {}\n  bool ok(const std::string& s, unsigned long n = 3) const { return s == "}{"; }\n  int y;\n};\nint W2::f() { return 1; }\nstatic void hid(char* p) { if (p) { } }\nint proto(int);\nenum E { A };\n}\nvoid open() {\n'
+    rows = cpp_symbols(spark.createDataFrame([("d/w.cc", text), (None, "x"), ("e.h", None)], "path string, content string")).collect()
+    assert {(r["qualified_name"], r["kind"]) for r in rows} == {
+        ("@file:d/w.cc", "module"), ("@namespace:d/w.cc:0:a::b", "namespace"), ("a::b::W", "class"), ("a::b::W::W(int)", "method"),
+        ("a::b::W::ok(const std::string&, unsigned long) const", "method"), ("a::b::W2::f()", "function"), ("@filelocal:d/w.cc::a::b::hid(char*)", "function"),
+    }
+    assert canonical_parameters("std::map<int, int> m, T&& t = f(1, 2), const char *argv[], ...") == "std::map<int, int>, T&&, const char*[], ..."
