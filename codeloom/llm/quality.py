@@ -32,7 +32,7 @@ COMMON = frozenset(
     el la los las un una unos unas de del en y que por con para se su al lo como más o pero sin sobre cada este esta entre
     desde ya no""".split()
 )
-STATISTICS = ("n_words", "mean_word_length", "symbol_share", "closed_lines", "common_share", "prose_share", "list_share", "table_share", "repeated_share", "digit_share")
+STATISTICS = ("n_words", "mean_word_length", "symbol_share", "closed_lines", "common_share", "prose_share", "list_share", "table_share", "repeated_share", "digit_share", "clutter_share")
 _SCHEMA = "doc_id long, lang string, n_visible long, " + ", ".join(f"{s} double" for s in STATISTICS)
 MAX_LABELLED = 20_000
 COMPONENTS_PER_LABEL = 3
@@ -47,14 +47,21 @@ _DIGITS = str.maketrans("", "", "0123456789")
 _ALNUM = re.compile(r"[^\W_]+")
 
 
+def _says_the_same(ws: list[str]) -> bool:
+    """Whether most runs of five words occurred before."""
+    runs = len(ws) - 4
+    return len(set(zip(ws, ws[1:], ws[2:], ws[3:], ws[4:]))) * 3 < runs
+
+
 def text_statistics(text: str) -> tuple:
     """Visible characters and :data:`STATISTICS` of one text.
 
     A line is prose if it has three or more words, at least 15 % of them common
     words, of three or more characters on average.  A line that appears for the
-    third time or more is repeated text.  Fenced code is neither.
+    third time or more is repeated text, and so is a line of many words that says
+    the same over and over.  Clutter is all but prose and fenced code.
     """
-    visible = n_words = n_common = prose = listed = tabled = repeated = closed = lines = 0
+    visible = n_words = n_common = prose = listed = tabled = repeated = fenced = closed = lines = 0
     seen: dict[str, int] = {}
     code = False
     common = COMMON.__contains__
@@ -74,9 +81,9 @@ def text_statistics(text: str) -> tuple:
         if times > 2 and v > 3:
             repeated += v
         elif code:
-            continue
+            fenced += v
         elif n >= 3 and s >= 0.15 * n and v >= 3 * n:
-            if n > 40 and len(set(ws)) * 6 < n:
+            if n > 40 and len(set(ws)) * 3 < n and _says_the_same(ws):
                 repeated += v
             else:
                 prose += v
@@ -100,6 +107,7 @@ def text_statistics(text: str) -> tuple:
         tabled / visible,
         repeated / visible,
         digits / visible,
+        (visible - prose - fenced) / visible,
     )
 
 
@@ -220,7 +228,7 @@ def fit_mixture(statistics: DataFrame, labelled: DataFrame, *, steps: int = STEP
 
 
 def classify(statistics: DataFrame, model: Mixture) -> DataFrame:
-    """(doc_id, lang, n_visible, prose_share, label, p_prose): the most probable label; blank texts are junk."""
+    """(doc_id, lang, n_visible, clutter_share, label, p_prose): the most probable label; blank texts are junk."""
     names = list(STATISTICS)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -230,11 +238,11 @@ def classify(statistics: DataFrame, model: Mixture) -> DataFrame:
             p = p @ of
             blank = pdf["n_visible"].to_numpy() == 0
             best = np.where(blank, "junk", np.array(LABELS)[p.argmax(1)]) if len(pdf) else np.array([], dtype=str)
-            out = pdf[["doc_id", "lang", "n_visible", "prose_share", "list_share", "table_share"]].copy()
+            out = pdf[["doc_id", "lang", "n_visible", "clutter_share"]].copy()
             out["label"], out["p_prose"] = best, np.where(blank, 0.0, p[:, 0])
             yield out
 
-    return statistics.mapInPandas(label, "doc_id long, lang string, n_visible long, prose_share double, list_share double, table_share double, label string, p_prose double")
+    return statistics.mapInPandas(label, "doc_id long, lang string, n_visible long, clutter_share double, label string, p_prose double")
 
 
 def labelled_majority(labels: DataFrame) -> DataFrame:
@@ -263,5 +271,5 @@ def not_prose(documents: DataFrame, labels: DataFrame) -> DataFrame:
     outside of prose and fenced code.
     """
     found = label_documents(documents, labels)
-    doubt = (F.col("n_visible") == 0) | ((F.col("p_prose") < 1 - MIN_POSTERIOR) & (F.col("prose_share") < 0.5))
+    doubt = (F.col("n_visible") == 0) | ((F.col("p_prose") < 1 - MIN_POSTERIOR) & (F.col("clutter_share") > 0.5))
     return found.where(doubt & F.col("doc_id").isNotNull()).select("doc_id").distinct()
