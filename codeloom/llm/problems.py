@@ -49,7 +49,7 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(nearest_neighbours(table(spark, sf_dir, "reuse_vectors"), probes=6))
+    return similar_pairs(nearest_neighbours(table(spark, sf_dir, "reuse_vectors"), probes=10))
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
