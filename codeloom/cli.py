@@ -1,9 +1,11 @@
 """Command line: index a repository, search it, look at its graph, compile a context.
 
     python -m codeloom.cli index PATH --index DIR [--full]
-    python -m codeloom.cli search DIR QUERY [--mode lexical|graph|reranked] [--limit N]
+    python -m codeloom.cli embed DIR
+    python -m codeloom.cli search DIR QUERY [--mode lexical|dense|hybrid|graph|reranked] [--limit N]
     python -m codeloom.cli graph DIR [SYMBOL]
     python -m codeloom.cli context DIR QUERY --budget N
+    python -m codeloom.cli benchmark DIR FILE
 """
 
 from __future__ import annotations
@@ -15,28 +17,62 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.text import preview
-from codeloom.operators import context, graph
+from codeloom.operators import context, evaluation, graph
+from codeloom.operators.embedding import HashedWords, embed_units
 from codeloom.operators.retrieval import Corpus
 from codeloom.plans.indexing import index_repository
 from codeloom.session import local_session
 from codeloom.sources.store import IndexStore
 
 
+PROVIDER = HashedWords()
+
+
 def corpus_of(spark: SparkSession, index: str) -> Corpus:
-    """The corpus of an index; without vectors the dense list is empty and the ladder still works."""
+    """The corpus of an index; before ``embed`` the dense list is empty and the ladder still works."""
     store = IndexStore(spark, index)
     symbols = store.read("symbols")
     units = store.read("code_units").join(symbols.select("qualified_name", "name", "signature"), "qualified_name")
-    vectors = spark.createDataFrame([], "qualified_name string, model_id string, vector array<double>")
+    vectors = store.read_vectors()
     return Corpus(units, vectors, store.read("relations"))
 
 
-def search(corpus: Corpus, text: str, mode: str, limit: int) -> DataFrame:
+def search(corpus: Corpus, texts: list[tuple[int, str]], mode: str, limit: int) -> DataFrame:
     spark = corpus.units.sparkSession
-    queries = spark.createDataFrame([(0, text, "none", [1.0])], "query_id long, text string, model_id string, vector array<double>")
+    rows = [(i, t, PROVIDER.model_id, PROVIDER.embed_query(t).tolist()) for i, t in texts]
+    queries = spark.createDataFrame(rows, "query_id long, text string, model_id string, vector array<float>")
     return getattr(corpus, mode)(queries, limit).select("query_id", "item", "rank", "score")
 
 
+def embed(spark: SparkSession, index: str) -> int:
+    """Embed what has no vector yet; returns the number of vectors."""
+    store = IndexStore(spark, index)
+    corpus = corpus_of(spark, index)
+    store.write_vectors(embed_units(corpus.units, PROVIDER, corpus.vectors))
+    return store.read_vectors().count()
+
+
+def benchmark(spark: SparkSession, index: str, path: str) -> str:
+    """Ranks and metrics of all modes over a benchmark file, as Markdown."""
+    corpus = corpus_of(spark, index)
+    rows = evaluation.load_benchmark(spark, path)
+    names = {r["query_id"]: i for i, r in enumerate(rows.select("query_id").distinct().orderBy("query_id").collect())}
+    ids = spark.createDataFrame(list(names.items()), "name string, query_id long")
+    rows = rows.withColumnRenamed("query_id", "name").join(ids, "name")
+    gold = rows.select("query_id", F.col("gold").alias("item"))
+    lost = evaluation.missing_gold(gold, corpus.units).limit(1).collect()
+    if lost:
+        raise ValueError(f"gold item is not indexed: {lost[0]['item']}")
+    texts = [(r["query_id"], r["text"]) for r in rows.select("query_id", "text").distinct().collect()]
+    modes = ("lexical", "dense", "hybrid", "graph", "reranked")
+    ranked = None
+    for mode in modes:
+        part = search(corpus, texts, mode, evaluation.TOP).select("query_id", F.lit(mode).alias("mode"), "item", "rank")
+        ranked = part if ranked is None else ranked.unionAll(part)
+    ranks = evaluation.first_relevant(rows.select("query_id", "category").distinct(), ranked, gold, modes)
+    return evaluation.markdown_report(evaluation.metrics(ranks), ranks.join(ids, "query_id").drop("query_id").withColumnRenamed("name", "query_id"))
+
+
 def _show(df: DataFrame) -> None:
     for row in df.toLocalIterator():
         print(json.dumps(row.asDict(), ensure_ascii=False))
@@ -49,12 +85,16 @@ def main(argv: list[str] | None = None) -> None:
     index.add_argument("path")
     index.add_argument("--index", required=True)
     index.add_argument("--full", action="store_true")
+    commands.add_parser("embed").add_argument("index")
+    bench = commands.add_parser("benchmark")
+    bench.add_argument("index")
+    bench.add_argument("file")
     for name in ("search", "context", "graph"):
         c = commands.add_parser(name)
         c.add_argument("index")
         c.add_argument("query", nargs="?" if name == "graph" else None)
         if name == "search":
-            c.add_argument("--mode", default="lexical", choices=["lexical", "hybrid", "graph", "reranked"])
+            c.add_argument("--mode", default="lexical", choices=["lexical", "dense", "hybrid", "graph", "reranked"])
             c.add_argument("--limit", type=int, default=10)
         if name == "context":
             c.add_argument("--budget", type=int, required=True)
@@ -63,6 +103,12 @@ def main(argv: list[str] | None = None) -> None:
     if args.command == "index":
         print(json.dumps(index_repository(spark, args.path, args.index, full=args.full)))
         return
+    if args.command == "embed":
+        print(json.dumps({"vectors": embed(spark, args.index)}))
+        return
+    if args.command == "benchmark":
+        print(benchmark(spark, args.index, args.file))
+        return
     store = IndexStore(spark, args.index)
     if args.command == "graph":
         edges = store.read("relations")
@@ -74,10 +120,10 @@ def main(argv: list[str] | None = None) -> None:
     corpus = corpus_of(spark, args.index)
     units = corpus.units.withColumnRenamed("qualified_name", "item")
     if args.command == "search":
-        hits = search(corpus, args.query, args.mode, args.limit)
+        hits = search(corpus, [(0, args.query)], args.mode, args.limit)
         _show(hits.join(units, "item").select("rank", "score", "item", "kind", "path", "start_line", preview(F.col("source_text")).alias("preview")).orderBy("rank"))
     else:
-        ranked = search(corpus, args.query, "reranked", context.CANDIDATES).join(units, "item")
+        ranked = search(corpus, [(0, args.query)], "reranked", context.CANDIDATES).join(units, "item")
         text = context.block_text(*[F.col(c) for c in ("item", "kind", "path", "start_line", "end_line", "source_text")])
         _show(context.pack_context(ranked.withColumn("text", text), args.budget).orderBy("rank"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOP = 10
@@ -41,3 +41,36 @@ def pairwise(ranks: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
 def missing_gold(gold: DataFrame, units: DataFrame) -> DataFrame:
     """Gold items that are not indexed."""
     return gold.join(units.select(F.col("qualified_name").alias("item")), "item", "left_anti").select("query_id", "item")
+
+
+CATEGORIES = ("lexical", "behavioral", "calls", "inheritance")
+
+
+def load_benchmark(spark: SparkSession, path: str) -> DataFrame:
+    """(query_id, category, text, gold) of a benchmark file, one row per gold item.
+
+    The file is one JSON object with version 1 and queries of unique ids, known
+    categories, text that is not blank, and at least one gold item, none twice.
+    """
+    raw = spark.read.option("multiLine", "true").json(path)
+    if raw.select("benchmark_version").collect() != [(1,)]:
+        raise ValueError("only benchmark version 1 can be read")
+    queries = raw.select(F.explode("queries").alias("q")).select(F.col("q.id").alias("query_id"), F.col("q.category").alias("category"), F.col("q.query").alias("text"), F.col("q.relevant_qnames").alias("gold"))
+    blank = (F.col("query_id").isNull()) | (F.trim(F.coalesce("text", F.lit(""))) == "") | ~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False))
+    no_gold = F.coalesce(F.size("gold"), F.lit(0)) < 1
+    twice = F.size(F.array_distinct("gold")) != F.size("gold")
+    wrong = queries.agg(F.count_if(blank | no_gold | twice).alias("bad"), (F.count(F.lit(1)) - F.countDistinct("query_id")).alias("repeated")).first()
+    if wrong["bad"] or wrong["repeated"]:
+        raise ValueError(f"{wrong['bad']} queries are incomplete, {wrong['repeated']} ids are repeated")
+    return queries.withColumn("gold", F.explode("gold"))
+
+
+def markdown_report(metrics_rows: DataFrame, ranks: DataFrame) -> str:
+    """Metrics per category and mode, and the ranks per query (a dash for none), as Markdown."""
+    lines = ["| category | mode | queries | Hit@1 | Hit@5 | Hit@10 | MRR@10 |", "|---|---|---:|---:|---:|---:|---:|"]
+    for r in metrics_rows.orderBy("category", "mode").toLocalIterator():
+        lines.append(f"| {r['category']} | {r['mode']} | {r['n_queries']} | {r['hit_1']:.4f} | {r['hit_5']:.4f} | {r['hit_10']:.4f} | {r['mrr_10']:.4f} |")
+    lines += ["", "| query | mode | rank |", "|---|---|---:|"]
+    for r in ranks.orderBy("query_id", "mode").toLocalIterator():
+        lines.append(f"| {r['query_id']} | {r['mode']} | {'—' if r['rank'] is None else r['rank']} |")
+    return "\n".join(lines) + "\n"

@@ -54,3 +54,25 @@ class IndexStore:
         if version is None:
             raise FileNotFoundError(f"no index under {self.root}")
         return self.spark.read.parquet(f"{self.root}/v{version}/{name}")
+
+    def write_vectors(self, vectors: DataFrame) -> None:
+        """Write the vectors of the current version; they become current when all are written."""
+        version = self.current()
+        if version is None:
+            raise FileNotFoundError(f"no index under {self.root}")
+        count = (max((int(n) for n in self._vector_folders()), default=0)) + 1
+        staged = f"{self.root}/_vectors.{count}"
+        vectors.write.mode("overwrite").parquet(staged)
+        self._fs.rename(self._path(staged), self._path(f"{self.root}/vectors.{count}"))
+
+    def _vector_folders(self) -> list[str]:
+        found = self._fs.globStatus(self._path(f"{self.root}/vectors.*"))
+        return [s.getPath().getName().rpartition(".")[2] for s in found or []]
+
+    def read_vectors(self) -> DataFrame:
+        """(qualified_name, model_id, fingerprint, vector) written last; none before the first."""
+        schema = "qualified_name string, model_id string, fingerprint string, vector array<float>"
+        folders = self._vector_folders()
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/vectors.{max(map(int, folders))}")

@@ -1,3 +1,5 @@
+import json
+
 import pytest
 
 from codeloom.operators.lexical import with_path_prefix
@@ -67,11 +69,38 @@ def test_path_prefixes_are_literal(spark):
 def test_command_line(spark, tmp_path, capsys):
     from codeloom.cli import main
 
+    index = str(tmp_path / "i")
     lay(tmp_path / "repo", {"pay.py": "def authorize_payment(x):\n    return charge(x)\n\ndef charge(x):\n    return x\n"})
-    main(["index", str(tmp_path / "repo"), "--index", str(tmp_path / "i")])
-    main(["search", str(tmp_path / "i"), "authorize_payment", "--mode", "reranked"])
+    main(["index", str(tmp_path / "repo"), "--index", index])
+    main(["embed", index])
+    assert '"vectors": 2' in capsys.readouterr().out
+    main(["search", index, "authorize_payment", "--mode", "reranked"])
     assert '"item": "pay.authorize_payment"' in capsys.readouterr().out
-    main(["context", str(tmp_path / "i"), "authorize_payment", "--budget", "100"])
+    main(["context", index, "authorize_payment", "--budget", "100"])
     assert '"decision": "selected"' in capsys.readouterr().out
-    main(["graph", str(tmp_path / "i")])
+    main(["graph", index])
     assert '"n_edges": 2' in capsys.readouterr().out
+    query = {"id": "q1", "category": "lexical", "query": "authorize_payment", "relevant_qnames": ["pay.authorize_payment"], "showcase": False, "notes": ""}
+    (tmp_path / "b.json").write_text(json.dumps({"benchmark_version": 1, "benchmark_id": "b", "language": "python", "queries": [query]}))
+    main(["benchmark", index, str(tmp_path / "b.json")])
+    out = capsys.readouterr().out
+    assert "| lexical | reranked | 1 | 1.0000 |" in out and "| q1 | dense | 1 |" in out
+    (tmp_path / "b.json").write_text(json.dumps({"benchmark_version": 1, "queries": [query, query]}))
+    with pytest.raises(ValueError, match="repeated"):
+        main(["benchmark", index, str(tmp_path / "b.json")])
+
+
+def test_vectors_are_reused(spark):
+    from codeloom.operators.embedding import HashedWords, embed_units
+
+    class Counting(HashedWords):
+        def embed_documents(self, texts):
+            if any("keep" in t for t in texts):
+                raise RuntimeError("embedded again")
+            return super().embed_documents(texts)
+
+    schema = "qualified_name string, signature string, source_text string"
+    old = embed_units(spark.createDataFrame([("m.keep", "s", "t"), ("m.gone", "s", "t"), ("m.edit", "s", "t")], schema), HashedWords()).cache()
+    new = embed_units(spark.createDataFrame([("m.keep", "s", "t"), ("m.edit", "s", "u"), ("m.new", None, None)], schema), Counting(), old)
+    got = {r["qualified_name"]: r["vector"] for r in new.collect()}
+    assert set(got) == {"m.keep", "m.edit", "m.new"} and got["m.keep"] == {r["qualified_name"]: r["vector"] for r in old.collect()}["m.keep"]
