@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from codeloom.functions.cleaning import hex_digest, relative_path, status, trimmed
 from codeloom.functions.text import code_tokens, preview
 from codeloom.operators import context, dense, evaluation, graph, incremental, lexical, resolve
+from codeloom.operators.extract_cpp import cpp_facts, resolve_cpp
 from codeloom.operators.extract_cpp import cpp_symbols as extract_cpp
 from codeloom.operators.extract_python import python_facts, resolve_python
 from codeloom.operators.extract_python import python_symbols as extract_python
@@ -16,6 +17,7 @@ from codeloom.operators.fusion import fuse
 from codeloom.operators.latest import latest_by
 from codeloom.operators.retrieval import COLUMNS, Corpus
 from codeloom.plans.views import edges_now, search_queries, symbols_now, unit_vectors, units_now
+from codeloom.sources.repository import CPP_FILES
 from codeloom.sources.tables import table
 
 MODES = ("lexical", "dense", "hybrid", "graph", "reranked")
@@ -341,7 +343,13 @@ def python_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cpp_symbols(spark: SparkSession, d: str) -> DataFrame:
-    return extract_cpp(_texts(spark, d, "cpp", "cc", "cxx", "h", "hh", "hpp", "hxx"))
+    return extract_cpp(_texts(spark, d, *CPP_FILES))
+
+
+def cpp_relations(spark: SparkSession, d: str) -> DataFrame:
+    """Includes, base classes and calls of the checked-out files, resolved against their symbols."""
+    files = _texts(spark, d, *CPP_FILES)
+    return resolve_cpp(cpp_facts(files), extract_cpp(files))
 
 
 _ALL = (
@@ -349,6 +357,6 @@ _ALL = (
     rrf_fusion, hybrid_search, graph_search, graph_support, relation_evidence, channel_rankings, reranked_search, rerank_contributions, context_pack, span_overlap_pairs, unit_token_counts,
     unit_previews, graph_summary, graph_degrees, graph_neighbours, graph_reach, graph_distance_to_module, graph_canonical_edges, graph_dangling, contains_edges, duplicate_symbols, resolve_facts,
     unique_stems, scope_walk, returnable_units, per_file_view, table_counts, change_set, work_counts, incremental_merge, surface_changes, language_mix, first_relevant_ranks, ranking_metrics,
-    ranking_pairs, gold_missing, python_symbols, python_relations, cpp_symbols,
+    ranking_pairs, gold_missing, python_symbols, python_relations, cpp_symbols, cpp_relations,
 )
 QUERIES = {f.__name__: f for f in _ALL}

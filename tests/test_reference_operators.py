@@ -165,3 +165,26 @@ def test_cpp_extraction(spark):
         ("a::b::W::ok(const std::string&, unsigned long) const", "method"), ("a::b::W2::f()", "function"), ("@filelocal:d/w.cc::a::b::hid(char*)", "function"),
     }
     assert canonical_parameters("std::map<int, int> m, T&& t = f(1, 2), const char *argv[], ...") == "std::map<int, int>, T&&, const char*[], ..."
+
+
+def test_cpp_relations(spark):
+    from codeloom.operators.extract_cpp import cpp_facts, cpp_symbols, resolve_cpp
+
+    a = '#include <vector>\n#include "b.hpp"\n// #include "no.hpp"\nnamespace n {\nclass D : public Base, private T<int> {\n  void m() { this->k(); helper(1); obj.k(); twice(); }\n  void k() {}\n};\nvoid helper(int x) { int local(3); auto f = x; f(2); Base::make(); other::go(); D d(1); return helper(x); }\nvoid twice() {}\nvoid twice(int) {}\n}\n'
+    b = "namespace n { class Base { static void make() {} }; }\nnamespace other { void go() {} }\n"
+    files = spark.createDataFrame([("src/a.cpp", a), ("src/b.hpp", b), (None, "x"), ("e.h", None)], "path string, content string")
+    got = {(r["kind"], r["source"], r["target_text"]): (r["target"], r["resolution"]) for r in resolve_cpp(cpp_facts(files), cpp_symbols(files)).collect()}
+    assert got == {
+        ("imports", "@file:src/a.cpp", "<vector>"): (None, "unresolved"),
+        ("imports", "@file:src/a.cpp", '"b.hpp"'): ("@file:src/b.hpp", "resolved"),
+        ("inherits", "n::D", "Base"): ("n::Base", "resolved"),
+        ("inherits", "n::D", "T<int>"): (None, "unresolved"),
+        ("calls", "n::D::m()", "k"): got["calls", "n::D::m()", "k"],
+        ("calls", "n::D::m()", "helper"): ("n::helper(int)", "resolved"),
+        ("calls", "n::D::m()", "twice"): (None, "unresolved"),
+        ("calls", "n::helper(int)", "f"): (None, "unresolved"),
+        ("calls", "n::helper(int)", "Base::make"): ("n::Base::make()", "probable"),
+        ("calls", "n::helper(int)", "other::go"): ("other::go()", "resolved"),
+        ("calls", "n::helper(int)", "helper"): ("n::helper(int)", "resolved"),
+    }
+    assert {(r["target"], r["resolution"]) for r in resolve_cpp(cpp_facts(files), cpp_symbols(files)).where("target_text = 'k'").collect()} == {("n::D::k()", "probable"), (None, "unresolved")}
