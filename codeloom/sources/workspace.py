@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="codeloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
