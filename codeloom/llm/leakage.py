@@ -123,6 +123,8 @@ def held_words(item: np.ndarray, doc: np.ndarray, anchors: list[tuple[int, int]]
         score, start = own, d0
         for m in range(n - 1, -1, -1):
             e0, e1, p0, p1 = blocks[m]
+            if d0 - e0 > far + len(item):
+                break  # a run is no longer than the item, so all earlier ones are too far
             if p0 >= q0 or p1 >= q1 or e1 >= d1 or d0 - e1 > far:
                 continue
             total, began = best[m]
