@@ -74,10 +74,36 @@ WITH RECURSIVE nodes AS (
 )
 """
 
+_CHAINS = rf"""
+WITH RECURSIVE nodes AS (
+  SELECT name, parent FROM (
+    SELECT {_trim('qualified_name')} AS name, {_trim('parent_qualified_name')} AS parent, loaded_at FROM symbols
+  ) WHERE name IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY name ORDER BY loaded_at DESC NULLS LAST, parent DESC NULLS LAST) = 1
+), up AS (
+  SELECT name AS start, parent AS node FROM nodes WHERE parent IS NOT NULL
+  UNION SELECT start, n.parent FROM up JOIN nodes n ON n.name = up.node WHERE n.parent IS NOT NULL
+), circle AS (SELECT start AS name FROM up WHERE start = node
+), lost AS (
+  SELECT start, 'broken' AS status, max(node) FILTER (WHERE node NOT IN (SELECT name FROM nodes)) AS top, count(*) AS steps FROM up
+  GROUP BY start HAVING count(*) FILTER (WHERE node NOT IN (SELECT name FROM nodes)) > 0
+), turning AS (
+  SELECT start, CASE WHEN start IN (SELECT name FROM circle) THEN 'on_cycle' ELSE 'below_cycle' END AS status, min(node) FILTER (WHERE node IN (SELECT name FROM circle)) AS top,
+    CASE WHEN start IN (SELECT name FROM circle) THEN 0 ELSE count(*) FILTER (WHERE node NOT IN (SELECT name FROM circle)) + 1 END AS steps
+  FROM up GROUP BY start HAVING count(*) FILTER (WHERE node IN (SELECT name FROM circle)) > 0
+)
+"""
+
 SQL = {
     "p1_found": _CHANGES + "SELECT repo, path, snapshot_id, change FROM changes",
     "p1_change_counts": _CHANGES + "SELECT repo, snapshot_id, change, count(*) AS n_files FROM changes GROUP BY ALL",
     "p3_found": _ORPHANS + "SELECT relation_id, reason FROM orphans",
     "p3_counts": _ORPHANS + "SELECT 'relations' AS table_name, kind, strftime(recorded_at, '%Y-%m') AS month, reason, count(*) AS n_orphans FROM orphans GROUP BY ALL",
+    "p6_found": _CHAINS + "SELECT start AS qualified_name, status, top, steps::INTEGER AS steps FROM (SELECT * FROM lost UNION ALL SELECT * FROM turning)",
+    "p6_descendants": _CHAINS.replace("), circle AS", """), below AS (
+  SELECT name AS descendant, parent AS ancestor, 1 AS distance FROM nodes WHERE parent IS NOT NULL AND name NOT IN (SELECT u.start FROM up u JOIN up v ON v.start = u.node AND v.node = u.node)
+    AND name NOT IN (SELECT start FROM up WHERE start = node)
+  UNION ALL SELECT descendant, n.parent, distance + 1 FROM below JOIN nodes n ON n.name = ancestor WHERE n.parent IS NOT NULL
+), circle AS""") + "SELECT ancestor, descendant, distance FROM below WHERE ancestor IN (SELECT name FROM nodes)",
     "p6_paths": _TREE + "SELECT name AS qualified_name, path, depth, root FROM tree",
 }
