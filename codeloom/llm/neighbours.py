@@ -28,6 +28,8 @@ CODES = 256
 TRAIN_ROWS = 20_000
 LIST_FACTOR = 4.0
 PROBES = 8
+#: Where probes are given as a share of the lists, at least so many are visited.
+LEAST_PROBES = 16
 RERANK = 24
 BLOCK = 4096
 
@@ -114,12 +116,13 @@ def _load(row) -> Index:
     return Index(np.frombuffer(row["centroids"], np.float32).reshape(-1, DIMENSION), books)
 
 
-def _place(indexes: dict[str, Index], probes: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _place(indexes: dict[str, Index], probes: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The lists that each vector visits, nearest (its own, with its code) first."""
     for pdf in batches:
         for model, part in pdf.groupby("model_id", sort=False):
             x, index = _unit(_vectors(part["v"])), indexes[model]
-            visits = index.nearest_lists(x, probes)
+            n = int(probes) if probes >= 1 else max(LEAST_PROBES, int(np.ceil(probes * len(index.centroids))))
+            visits = index.nearest_lists(x, n)
             codes = index.encode(x, visits[:, 0])
             yield pd.DataFrame(
                 {"model_id": model, "vec_id": part["vec_id"].to_numpy(), "v": part["v"].to_numpy(), "lists": list(visits.astype(np.int32)), "code": [c.tobytes() for c in codes]}
@@ -185,14 +188,14 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", "row.model_id", "row.vector").mapInPandas(pack, "vec_id long, model_id string, v binary")
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, *, probes: int = PROBES, rerank: int = RERANK, train_rows: int = TRAIN_ROWS, block: int = BLOCK) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 5, *, probes: float = PROBES, rerank: int = RERANK, train_rows: int = TRAIN_ROWS, block: int = BLOCK) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): the ``k`` most similar usable vectors of the same model.
 
     ``vectors``: vec_id, model_id, vector; see :func:`usable_vectors`.  Ties go to
     the smaller vec_id; copies of a vector are neighbours of each other.  A model
     with one vector gives no rows.  Centroids and codebooks are trained on about
     ``train_rows`` vectors per model, every vector is indexed and every vector is a
-    query.
+    query.  ``probes`` is the number of lists visited or, below 1, their share.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "neighbours")

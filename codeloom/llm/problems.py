@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.cleaning import status, trimmed
@@ -12,6 +13,7 @@ from codeloom.llm.neighbours import nearest_neighbours, similar_pairs
 from codeloom.llm.packing import pack_windows, token_count, window_report
 from codeloom.llm.quality import document_statistics, label_documents, not_prose
 from codeloom.llm.syntax_check import check_files, error_rates
+from codeloom.operators.dense import dense_search
 from codeloom.operators.latest import latest_by
 from codeloom.sources.tables import table
 
@@ -56,12 +58,25 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar vectors of each usable vector, with their names."""
     vectors = table(spark, sf_dir, "reuse_vectors")
     names = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min(trimmed(F.col("qualified_name"))).alias("name"))
-    near = nearest_neighbours(vectors, probes=32, rerank=32)
+    near = nearest_neighbours(vectors, probes=0.03, rerank=32)
     near = near.join(names.withColumnRenamed("name", "qualified_name"), "vec_id", "left")
     near = near.join(names.select(F.col("vec_id").alias("neighbour"), F.col("name").alias("neighbour_name")), "neighbour", "left")
     return near.select("vec_id", "qualified_name", "rank", "neighbour", "neighbour_name", F.round("cosine", 6).alias("cosine"))
 
 
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the five nearest that the index finds, for every query id divisible by 100 against all rows."""
+    vectors = table(spark, sf_dir, "reuse_vectors")
+    finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    usable = vectors.where((F.size("vector") == 64) & finite & F.exists("vector", lambda x: x != 0) & F.col("model_id").isNotNull())
+    items = usable.select(F.col("vec_id").alias("item"), F.col("model_id").alias("group"), "vector")
+    queries = items.where("item % 100 = 0").withColumnRenamed("item", "query_id")
+    exact = dense_search(queries, items, 6).where("query_id <> item").withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("place <= 5")
+    near = nearest_neighbours(vectors, probes=0.03, rerank=32).select(F.col("vec_id").alias("query_id"), F.col("neighbour").alias("item"), F.lit(1).alias("hit"))
+    both = exact.join(near, ["query_id", "item"], "left").join(queries.select("query_id", F.col("group").alias("model_id")), "query_id")
+    return both.groupBy("model_id").agg(F.countDistinct("query_id").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
+
+
 def p7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(token_count(F.col("text")), F.lit(0)).cast("long").alias("tokens"))
 
@@ -100,4 +115,4 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).select("doc_id", "label")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_rates, p4_found, p4_pairs, p5_found, p5_neighbours, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_rates, p4_found, p4_pairs, p5_found, p5_neighbours, p5_recall, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
