@@ -11,12 +11,15 @@ keyed by a 128-bit hash of the referenced name:
   References known before whose parent arrived, was deleted or was corrected in
   this period are judged again, which resolves waiting orphans and reopens others.
 
-The latest verdict of a reference holds.  Hot names are salted.
+The latest verdict of a reference holds.  Hot names are salted.  A long history is
+replayed several periods per round; the index then keeps the state of a key after
+each period of the round, so the log is the same whatever the number of rounds.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 from codeloom.operators.skew import hot_keys, with_copies, with_salt
 from codeloom.sources.workspace import Workspace
 
+#: Rounds of a replay; a longer history has several periods in each.
 MAX_PERIODS = 12
 KEY = ["k1", "k2"]
 
@@ -51,7 +55,7 @@ def _verdict(lives: Column, at: Column) -> Column:
 
 @dataclass
 class OrphanLog:
-    """What a replay leaves: ``verdicts`` (ref_id, period, reason or null) and the ``periods`` in order."""
+    """What a replay leaves: ``verdicts`` (ref_id, period, reason or null) and the ``periods`` (months since the first arrival) in order."""
 
     verdicts: DataFrame
     references: DataFrame
@@ -72,10 +76,11 @@ class OrphanLog:
         last = self.periods[-1] if self.periods else 0
         nxt = F.lead("period").over(_by_ref())
         rows = self.verdicts.withColumn("until", F.coalesce(nxt - 1, F.lit(last))).where("reason is not null and until >= period")
-        rows = rows.withColumn("period", spans)
         if by:
             rows = rows.join(self.references.select("ref_id", *by), "ref_id")
-        return rows.groupBy("period", *by, "reason").agg(F.count(F.lit(1)).alias("n_open"))
+        # Equal spans are counted before they are spread over their periods.
+        rows = rows.groupBy("period", "until", *by, "reason").agg(F.count(F.lit(1)).alias("n"))
+        return rows.withColumn("period", spans).groupBy("period", *by, "reason").agg(F.sum("n").alias("n_open"))
 
 
 def _by_ref():
@@ -84,10 +89,28 @@ def _by_ref():
     return Window.partitionBy("ref_id").orderBy("period")
 
 
-def period_of(arrival: Column, first: Column, width: int) -> Column:
-    """Ordinal of the calendar period of ``width`` months; unknown arrivals belong to the first."""
+def period_of(arrival: Column, first: Column) -> Column:
+    """Ordinal of the calendar month; unknown arrivals belong to the first."""
     months = (F.year(arrival) * 12 + F.month(arrival)) - first
-    return F.coalesce(F.floor(months / width).cast("int"), F.lit(0))
+    return F.coalesce(months.cast("int"), F.lit(0))
+
+
+def _steps(lives: Column, before: int) -> Column:
+    """(period, lives): what holds of a key after each period that ``lives`` arrived in, in order.
+
+    ``lives`` holds one life per source and period, those known before the round
+    under the period ``before``.
+    """
+
+    def after(period: Column) -> Column:
+        known = F.filter(lives, lambda x: x["period"] <= period)
+        sources = F.array_distinct(F.transform(known, lambda x: x["source"]))
+        return F.transform(sources, lambda s: F.array_max(F.filter(known, lambda x: x["source"].eqNullSafe(s))))
+
+    periods = F.array_sort(F.array_distinct(F.transform(lives, lambda x: x["period"])))
+    changed = F.transform(periods, lambda p: F.struct(p.alias("period"), after(p).alias("lives")))
+    unchanged = F.array(F.struct(F.lit(before).alias("period"), lives.alias("lives")))
+    return F.when(F.exists(lives, lambda x: x["period"] > before), changed).otherwise(unchanged)
 
 
 def replay_orphans(references: DataFrame, parents: DataFrame, *, keep: tuple[str, ...] = (), max_periods: int = MAX_PERIODS) -> OrphanLog:
@@ -100,8 +123,8 @@ def replay_orphans(references: DataFrame, parents: DataFrame, *, keep: tuple[str
     arrival; of several versions of a name from one source the latest arrival
     holds (ties: greatest life), rows without a name are left out, a null start
     has always begun and a null end never ends.  Names from different sources
-    both count.  Periods are calendar months, or as many months as keep their
-    number at ``max_periods`` or less.
+    both count.  Periods are calendar months, whatever their number; they are
+    replayed in ``max_periods`` rounds or less.
     """
     spark = references.sparkSession
     work = Workspace(spark, "orphans")
@@ -110,10 +133,10 @@ def replay_orphans(references: DataFrame, parents: DataFrame, *, keep: tuple[str
     ).first()
     lo, hi = (months["lo"] or 0), (months["hi"] or 0)
     width = max(1, -(-(hi - lo + 1) // max_periods))
-    periods = list(range((hi - lo) // width + 1))
+    periods = list(range(hi - lo + 1))
 
     def period(column: str) -> Column:
-        return period_of(F.col(column), F.lit(lo), width)
+        return period_of(F.col(column), F.lit(lo))
 
     refs = (
         references.where("ref_id is not null")
@@ -130,24 +153,30 @@ def replay_orphans(references: DataFrame, parents: DataFrame, *, keep: tuple[str
     )
     versions = work.write(versions, "versions")
 
+    life = ["life.arrival", "life.start", "life.end"]
     index: DataFrame | None = None
     log = None
-    for p in periods:
-        # Merge: the latest version per key and source; a key is touched if a version arrived.
-        rows = versions.where(F.col("period") == p).select(*KEY, "life", F.lit(True).alias("fresh"))
+    for p in range(0, len(periods), width):
+        here = F.col("period").between(p, p + width - 1)
+        # Merge: the latest version per key, source and period; a key is touched if a version arrived.
+        rows = versions.where(here).select(*KEY, "life.source", F.struct(*life).alias("life"), "period")
         if index is not None:
-            rows = index.select(*KEY, F.explode("lives").alias("life"), F.lit(False).alias("fresh")).unionAll(rows)
-        merged = rows.groupBy(*KEY, "life.source").agg(F.max(F.struct("life.arrival", "life.start", "life.end", "life.source")).alias("life"), F.max("fresh").alias("fresh"))
-        merged = merged.groupBy(*KEY).agg(F.collect_list(F.struct("life.source", "life.arrival", "life.start", "life.end")).alias("lives"), F.max("fresh").alias("fresh"))
-        index = work.write(merged, f"index{p}")
-        if p > 1:
-            work.drop(f"index{p - 2}")
+            known = index.select(*KEY, F.explode(F.element_at("steps", -1)["lives"]).alias("life"))
+            rows = known.select(*KEY, "life.source", F.struct(*life).alias("life"), F.lit(p - 1).alias("period")).unionAll(rows)
+        merged = rows.groupBy(*KEY, "source", "period").agg(F.max("life").alias("life"))
+        merged = merged.groupBy(*KEY).agg(F.collect_list(F.struct(*life, "source", "period")).alias("lives"), (F.max("period") >= p).alias("fresh"))
+        index = work.write(merged.select(*KEY, _steps(F.col("lives"), p - 1).alias("steps"), "fresh"), f"index{p}")
+        if p > width:
+            work.drop(f"index{p - 2 * width}")
         copies = with_copies(index, KEY, hot)
-        new = refs.where(F.col("period") == p).join(copies, [*KEY, "_salt"], "left")
-        new = new.withColumn("reason", F.when(F.col("no_target"), F.lit("missing")).otherwise(_verdict(F.col("lives"), F.col("at")))).where("reason is not null")
-        touched = copies.where("fresh")
-        old = refs.where((F.col("period") < p) & ~F.col("no_target")).join(touched, [*KEY, "_salt"])
-        old = old.withColumn("reason", _verdict(F.col("lives"), F.col("at")))
-        verdict = [F.col("ref_id"), F.lit(p).alias("period"), F.col("reason")]
-        log = work.append(new.select(*verdict).unionAll(old.select(*verdict)), "log", p)
+        # Judged on arrival, and again after each later period of the round that touched the target.
+        new = refs.where(here).join(copies, [*KEY, "_salt"], "left").withColumn("steps", F.when(~F.col("no_target"), F.col("steps")))
+        new = new.withColumn("lives", F.try_element_at(F.filter("steps", lambda s: s["period"] <= F.col("period")), F.lit(-1))["lives"])
+        new = new.withColumn("reason", _verdict(F.col("lives"), F.col("at")))
+        parts = [new.where("reason is not null").select("ref_id", "period", "reason")]
+        again = refs.where((F.col("period") < p) & ~F.col("no_target")).join(copies.where("fresh"), [*KEY, "_salt"])
+        for old in (again, new) if width > 1 else (again,):
+            touched = old.select("ref_id", "at", F.explode(F.filter("steps", lambda s: (s["period"] >= p) & (s["period"] > F.col("period")))).alias("step"))
+            parts.append(touched.select("ref_id", "step.period", _verdict(F.col("step.lives"), F.col("at")).alias("reason")))
+        log = work.append(reduce(DataFrame.unionAll, parts), "log", p)
     return OrphanLog(log, refs, periods)

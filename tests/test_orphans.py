@@ -62,3 +62,47 @@ def test_against_brute_force_with_a_hot_target(spark):
                 want.add((i, "deleted" if b is not None and at >= b else "late"))
     got = {(r.ref_id, r.reason) for r in replay(spark, refs, parents, max_periods=5).current().collect()}
     assert got == want
+
+
+def test_months_are_kept_on_a_long_history(spark):
+    # 30 months: opened in month 20, resolved in 21, ended by a correction in 23, and one that waits from month 2 on.
+    refs = [(1, "p", 610, 610, "k"), (2, "q", 60, 60, "k"), (3, "r", 0, 0, "k")]
+    parents = [("s", "p", 600, None, 640), ("s", "p", 600, 605, 700), ("s", "r", 0, None, 885), ("e", "r", 500, None, 0)]
+    log = replay(spark, refs, parents)
+    assert log.periods == list(range(30))
+    counts = {(r.period, r.reason): r.n_open for r in log.counts().collect()}
+    want = {(m, "missing"): 1 for m in range(2, 30)} | {(20, "missing"): 2} | {(m, "late"): 1 for m in range(29)} | {(m, "deleted"): 1 for m in range(23, 30)}
+    assert counts == want
+
+
+def test_rounds_do_not_change_the_log(spark):
+    rng = random.Random(9)
+    parents = [(rng.choice("se"), f"n{rng.randrange(30)}", rng.randrange(400), rng.choice([None, rng.randrange(200, 500)]), rng.choice([None, rng.randrange(400)])) for _ in range(150)]
+    refs = [(i, "n0" if i % 3 == 0 else f"n{rng.randrange(40)}", rng.randrange(400), rng.randrange(400), "k") for i in range(2500)]
+
+    def month(n):
+        return 0 if n is None else day(n).year * 12 + day(n).month - T.year * 12 - T.month
+
+    def reason(i, p):
+        _, n, at, _, _ = refs[i]
+        lives = {}
+        for s, name, a, b, v in parents:
+            if name == n and month(v) <= p:
+                lives[s] = max(lives.get(s, ()), ((-1 if v is None else v), a, (-1 if b is None else b)))
+        if not lives:
+            return "missing"
+        if any(at >= a and (b < 0 or at < b) for _, a, b in lives.values()):
+            return None
+        return "deleted" if any(0 <= b <= at for _, _, b in lives.values()) else "late"
+
+    want = {}
+    for i in range(len(refs)):
+        for p in range(month(refs[i][3]), month(399) + 1):
+            r = reason(i, p)
+            if r:
+                want[p, r] = want.get((p, r), 0) + 1
+    logs = [replay(spark, refs, parents, max_periods=n) for n in (99, 4, 1)]
+    for log in logs:
+        assert {(r.period, r.reason): r.n_open for r in log.counts().collect()} == want
+    first, *others = [sorted((r.ref_id, r.period, r.reason or "") for r in log.verdicts.collect()) for log in logs]
+    assert all(o == first for o in others)
