@@ -116,12 +116,12 @@ def _load(row) -> Index:
     return Index(np.frombuffer(row["centroids"], np.float32).reshape(-1, DIMENSION), books)
 
 
-def _place(indexes: dict[str, Index], probes: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _place(indexes: dict[str, Index], probes: float, least: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The lists that each vector visits, nearest (its own, with its code) first."""
     for pdf in batches:
         for model, part in pdf.groupby("model_id", sort=False):
             x, index = _unit(_vectors(part["v"])), indexes[model]
-            n = int(probes) if probes >= 1 else max(LEAST_PROBES, int(np.ceil(probes * len(index.centroids))))
+            n = int(probes) if probes >= 1 else max(least, int(np.ceil(probes * len(index.centroids))))
             visits = index.nearest_lists(x, n)
             codes = index.encode(x, visits[:, 0])
             yield pd.DataFrame(
@@ -188,14 +188,15 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
     return rows.select("vec_id", "row.model_id", "row.vector").mapInPandas(pack, "vec_id long, model_id string, v binary")
 
 
-def nearest_neighbours(vectors: DataFrame, k: int = 5, *, probes: float = PROBES, rerank: int = RERANK, train_rows: int = TRAIN_ROWS, block: int = BLOCK) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = 5, *, probes: float = PROBES, least_probes: int = LEAST_PROBES, rerank: int = RERANK, train_rows: int = TRAIN_ROWS, block: int = BLOCK) -> DataFrame:
     """(vec_id, neighbour, cosine, rank): the ``k`` most similar usable vectors of the same model.
 
     ``vectors``: vec_id, model_id, vector; see :func:`usable_vectors`.  Ties go to
     the smaller vec_id; copies of a vector are neighbours of each other.  A model
     with one vector gives no rows.  Centroids and codebooks are trained on about
     ``train_rows`` vectors per model, every vector is indexed and every vector is a
-    query.  ``probes`` is the number of lists visited or, below 1, their share.
+    query.  ``probes`` is the number of lists visited or, below 1, their share, but
+    ``least_probes`` lists at least.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "neighbours")
@@ -219,7 +220,7 @@ def nearest_neighbours(vectors: DataFrame, k: int = 5, *, probes: float = PROBES
     indexes = {r["model_id"]: _load(r) for r in trained}
 
     placed = reps.where(F.col("model_id").isin(list(indexes)) if indexes else F.lit(False)).mapInPandas(
-        lambda it: _place(indexes, probes, it), "model_id string, vec_id long, v binary, lists array<int>, code binary"
+        lambda it: _place(indexes, probes, least_probes, it), "model_id string, vec_id long, v binary, lists array<int>, code binary"
     )
     placed = work.write(placed, "placed")
     own = placed.select("model_id", F.col("lists")[0].alias("list"), "vec_id", "v", "code")

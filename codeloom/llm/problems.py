@@ -17,6 +17,9 @@ from codeloom.operators.dense import dense_search
 from codeloom.operators.latest import latest_by
 from codeloom.sources.tables import table
 
+#: Lists that p5_found visits: a share, so that the searched part does not shrink as the lists grow in number.
+FOUND = {"probes": 0.01, "least_probes": 10}
+
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = check_files(table(spark, sf_dir, "file_contents")).where("has_syntax_errors and file_id is not null")
@@ -51,7 +54,7 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(nearest_neighbours(table(spark, sf_dir, "reuse_vectors"), probes=10))
+    return similar_pairs(nearest_neighbours(table(spark, sf_dir, "reuse_vectors"), **FOUND))
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,19 +67,34 @@ def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("vec_id", "qualified_name", "rank", "neighbour", "neighbour_name", F.round("cosine", 6).alias("cosine"))
 
 
-def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the five nearest that the index finds, for every query id divisible by 100 against all rows."""
-    vectors = table(spark, sf_dir, "reuse_vectors")
+def _exact_five(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every query id divisible by 100 (query_id, group, vector) and its five nearest among all rows (query_id, item, cosine)."""
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     usable = vectors.where((F.size("vector") == 64) & finite & F.exists("vector", lambda x: x != 0) & F.col("model_id").isNotNull())
     items = usable.select(F.col("vec_id").alias("item"), F.col("model_id").alias("group"), "vector")
     queries = items.where("item % 100 = 0").withColumnRenamed("item", "query_id")
     exact = dense_search(queries, items, 6).where("query_id <> item").withColumn("place", F.row_number().over(W.partitionBy("query_id").orderBy("rank"))).where("place <= 5")
+    return queries, exact
+
+
+def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the five nearest that the index finds, for every query id divisible by 100 against all rows."""
+    vectors = table(spark, sf_dir, "reuse_vectors")
+    queries, exact = _exact_five(vectors)
     near = nearest_neighbours(vectors, probes=0.03, rerank=32).select(F.col("vec_id").alias("query_id"), F.col("neighbour").alias("item"), F.lit(1).alias("hit"))
     both = exact.join(near, ["query_id", "item"], "left").join(queries.select("query_id", F.col("group").alias("model_id")), "query_id")
     return both.groupBy("model_id").agg(F.countDistinct("query_id").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 
+def p5_found_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the pairs above 0.9 of every query id divisible by 100 that p5_found lists, by exact search."""
+    queries, exact = _exact_five(table(spark, sf_dir, "reuse_vectors"))
+    pairs = exact.where("cosine > 0.9").select("query_id", F.least("query_id", "item").alias("vec_a"), F.greatest("query_id", "item").alias("vec_b"))
+    pairs = pairs.join(p5_found(spark, sf_dir).withColumn("hit", F.lit(1)), ["vec_a", "vec_b"], "left").select("query_id", F.coalesce("hit", F.lit(0)).alias("hit"))
+    both = queries.select("query_id", F.col("group").alias("model_id")).join(pairs, "query_id", "left")
+    return both.groupBy("model_id").agg(F.count("hit").alias("n_pairs"), F.coalesce(F.sum("hit"), F.lit(0)).alias("n_found"), F.round(F.avg("hit"), 6).alias("recall"))
+
+
 def p7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(token_count(F.col("text")), F.lit(0)).cast("long").alias("tokens"))
 
@@ -115,4 +133,4 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).select("doc_id", "label")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_rates, p4_found, p4_pairs, p5_found, p5_neighbours, p5_recall, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_rates, p4_found, p4_pairs, p5_found, p5_neighbours, p5_recall, p5_found_recall, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}

@@ -1,6 +1,8 @@
 import numpy as np
+import pandas as pd
 
-from codeloom.llm.neighbours import Index, kmeans, nearest_neighbours, similar_pairs, train
+from codeloom.llm import problems
+from codeloom.llm.neighbours import Index, _place, kmeans, nearest_neighbours, similar_pairs, train
 
 
 def frame(spark, rows):
@@ -77,3 +79,17 @@ def test_index_parts():
     exact = ((x[:20, None] - x[member]) ** 2).sum(2)
     assert np.corrcoef(approx.ravel(), exact.ravel())[0, 1] > 0.8
     assert kmeans(x, 700).shape == (500, 64) and isinstance(index, Index)
+
+
+def test_found_visits_a_share_of_the_lists(spark, monkeypatch):
+    asked = {}
+    monkeypatch.setattr(problems, "table", lambda *_: None)
+    monkeypatch.setattr(problems, "nearest_neighbours", lambda _, **how: asked.update(how))
+    monkeypatch.setattr(problems, "similar_pairs", lambda _: None)
+    problems.p5_found(spark, "")
+    rng = np.random.default_rng(3)
+    for lists, visited in ((300, 10), (1152, 12), (4000, 40)):
+        index = Index(rng.normal(size=(lists, 64)).astype(np.float32), rng.normal(size=(8, 16, 8)).astype(np.float32))
+        rows = pd.DataFrame({"model_id": ["m"], "vec_id": [1], "v": [rng.normal(size=64).astype(np.float32).tobytes()]})
+        (placed,) = _place({"m": index}, asked["probes"], asked["least_probes"], iter([rows]))
+        assert len(placed["lists"][0]) == visited
