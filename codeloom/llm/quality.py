@@ -4,7 +4,7 @@ One pass over the texts gives a compact row of statistics per document.  A
 Gaussian mixture with diagonal covariances is fitted to the standardized
 statistics of all documents by expectation-maximization, each step one
 aggregation over the rows; components get the label that inspected examples
-carry.  Documents that may belong to a component other than prose are checked
+carry.  Documents whose most probable label is not prose are checked
 against the share of their visible characters that is not prose.
 """
 
@@ -37,7 +37,6 @@ _SCHEMA = "doc_id long, lang string, n_visible long, " + ", ".join(f"{s} double"
 MAX_LABELLED = 20_000
 COMPONENTS_PER_LABEL = 3
 STEPS = 12
-MIN_POSTERIOR = 1e-4
 #: A wide component for texts that are unlike all others; it keeps its shape and counts as junk.
 BACKGROUND_WEIGHT, BACKGROUND_VARIANCE = 1e-3, 30.0
 
@@ -64,8 +63,10 @@ def text_statistics(text: str) -> tuple:
     visible = n_words = n_common = prose = listed = tabled = repeated = fenced = closed = lines = 0
     seen: dict[str, int] = {}
     code = False
+    split = text.splitlines()
+    fences = sum(line.lstrip().startswith("```") for line in split) if "```" in text else 0
     common = COMMON.__contains__
-    for line in text.splitlines():
+    for line in split:
         ws = line.lower().split()
         n = len(ws)
         if not n:
@@ -77,7 +78,8 @@ def text_statistics(text: str) -> tuple:
             closed += 1
         times = seen[line] = seen.get(line, 0) + 1
         if ws[0].startswith("```"):
-            code = not code
+            fences -= 1
+            code = not code and fences > 0
         if times > 2 and v > 3:
             repeated += v
         elif code:
@@ -266,10 +268,9 @@ def label_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def not_prose(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id) of natural-language documents that are not prose, or blank.
 
-    The mixture names the candidates, all with any notable probability of not
-    being prose; of these, more than half of the visible characters must lie
+    The mixture's label names the candidates; of these, more than half of the visible characters must lie
     outside of prose and fenced code.
     """
     found = label_documents(documents, labels)
-    doubt = (F.col("n_visible") == 0) | ((F.col("p_prose") < 1 - MIN_POSTERIOR) & (F.col("clutter_share") > 0.5))
+    doubt = (F.col("n_visible") == 0) | ((F.col("label") != "prose") & (F.col("clutter_share") > 0.5))
     return found.where(doubt & F.col("doc_id").isNotNull()).select("doc_id").distinct()

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from codeloom.llm import quality
 from codeloom.llm.quality import LABELS, STATISTICS, document_statistics, fit_mixture, label_documents, labelled_majority, not_prose, text_statistics
 
 PROSE = "The parser reads the file and it is then checked by the reader, which reports what was found in the text.\n"
@@ -65,3 +66,20 @@ def test_majority_and_statistics(spark):
     named = dict(zip(STATISTICS, values))
     assert visible > 0 and 0 < named["prose_share"] < 1 and named["list_share"] > 0.2
     assert text_statistics("word " * 2_000_000)[0] == 8_000_000
+
+
+def test_only_a_closed_fence_is_code():
+    def clutter(text):
+        return dict(zip(STATISTICS, text_statistics(text)[1:]))["clutter_share"]
+
+    noise = "".join(f"x{i}==#{i * 7}\n" for i in range(40))
+    assert clutter(f"{PROSE}```\n{noise}```\n{PROSE}") < 0.1
+    assert clutter(f"{PROSE}```\n{noise}") > 0.5
+    assert clutter(f"{PROSE}```\nrun\n```\n  ```\n{noise}") > 0.5
+
+
+def test_the_label_chooses_the_candidates(spark, monkeypatch):
+    rows = [(1, "en", 9, 0.9, "prose", 0.7), (2, "en", 9, 0.9, "junk", 0.3), (3, "en", 9, 0.4, "junk", 0.3), (4, "en", 0, 0.0, "junk", 0.0)]
+    labelled = spark.createDataFrame(rows, "doc_id long, lang string, n_visible long, clutter_share double, label string, p_prose double")
+    monkeypatch.setattr(quality, "label_documents", lambda *_: labelled)
+    assert {r["doc_id"] for r in not_prose(None, None).collect()} == {2, 4}
