@@ -53,7 +53,13 @@ def lexical_filtered(spark: SparkSession, d: str) -> DataFrame:
     return lexical.lexical_search(search_queries(spark, d), units, "qualified_name", COLUMNS, LIMIT, keep=keep).select("query_id", "qualified_name", "score", "rank")
 
 
+def all_token_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """Document and collection frequency of every token."""
+    return lexical.token_statistics(table(spark, d, "documents"), "doc_id", "text")
+
+
 def token_statistics(spark: SparkSession, d: str) -> DataFrame:
+    """The 50 most frequent tokens; :func:`all_token_statistics` has them all."""
     stats = lexical.token_statistics(table(spark, d, "documents"), "doc_id", "text")
     return stats.orderBy(F.desc("cf"), "token").limit(50)
 
@@ -353,7 +359,7 @@ def cpp_relations(spark: SparkSession, d: str) -> DataFrame:
 
 
 _ALL = (
-    lexical_search, lexical_documents, lexical_filtered, token_statistics, path_prefix_counts, dense_search, dense_filtered, vector_norms, unit_fingerprints, corpus_fingerprint, vector_reuse,
+    lexical_search, lexical_documents, lexical_filtered, all_token_statistics, token_statistics, path_prefix_counts, dense_search, dense_filtered, vector_norms, unit_fingerprints, corpus_fingerprint, vector_reuse,
     rrf_fusion, hybrid_search, graph_search, graph_support, relation_evidence, channel_rankings, reranked_search, rerank_contributions, context_pack, span_overlap_pairs, unit_token_counts,
     unit_previews, graph_summary, graph_degrees, graph_neighbours, graph_reach, graph_distance_to_module, graph_canonical_edges, graph_dangling, contains_edges, duplicate_symbols, resolve_facts,
     unique_stems, scope_walk, returnable_units, per_file_view, table_counts, change_set, work_counts, incremental_merge, surface_changes, language_mix, first_relevant_ranks, ranking_metrics,

@@ -234,6 +234,7 @@ SQL = {
     "lexical_search": f"WITH {_UNITS}, {_VECTORS}, {_lexical(_COLUMNS, 'units_now', 'qualified_name', 10)} SELECT query_id, item AS qualified_name, score, rank::INTEGER AS rank FROM lexical",
     "lexical_documents": f"WITH {_VECTORS}, {_lexical(['text'], 'documents', 'doc_id', 10)} SELECT query_id, item AS doc_id, score, rank::INTEGER AS rank FROM lexical",
     "lexical_filtered": f"WITH {_UNITS}, {_VECTORS}, {_lexical(_COLUMNS, 'units_now', 'qualified_name', 10, where='''WHERE item IN (SELECT qualified_name FROM units_now WHERE kind = 'method' AND starts_with(lower(path), 'src/'))''')} SELECT query_id, item AS qualified_name, score, rank::INTEGER AS rank FROM lexical",
+    "all_token_statistics": f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ({_DOCUMENT_TOKENS}) GROUP BY token",
     "token_statistics": f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ({_DOCUMENT_TOKENS}) GROUP BY token ORDER BY cf DESC, token LIMIT 50",
     "path_prefix_counts": f"WITH {_UNITS} SELECT kind, 'strict' AS rule, count(*) AS n_units FROM units_now WHERE starts_with(path, 'src/') GROUP BY ALL UNION ALL SELECT kind, 'loose', count(*) FROM units_now WHERE starts_with(lower(path), 'src/') GROUP BY ALL",
     "dense_search": _DENSE.format(on="true"),
