@@ -2,15 +2,17 @@
 
 The grammar is ambiguous where the language needs names to decide; a text is
 valid if any reading is.  Macros are not expanded: directives are taken out of
-the token stream, of conditional groups the first branch is read, and directives
-must be known and balanced.
+the token stream and must be known and balanced.  Every branch of a conditional
+group is read, but for those under a literal 0: the text is valid if each of as
+many texts as it takes to read them all is.
 """
 
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
-from codeloom.llm.derivatives import Grammar
+from codeloom.llm.derivatives import Grammar, Tokens
 
 BAD = "BAD"
 
@@ -132,13 +134,16 @@ _CLASSES = {
 }
 _DIRECTIVES = frozenset("include define undef if ifdef ifndef elif elifdef elifndef else endif line error warning pragma import".split())
 _LEX = re.compile(
-    r"""(?s)(?P<space>[ \t\f\v\r\n]+|\\\n)|(?P<comment>//(?:\\\n|[^\n])*|/\*.*?\*/)
+    r"""(?sm)(?P<directive>^[ \t]*\#(?:\\\n|/\*.*?\*/|[^\n])*)|(?P<space>(?:[ \t\f\v]*\n)+|[ \t\f\v]+|\\\n)|(?P<comment>//(?:\\\n|[^\n])*|/\*.*?\*/)
     |(?P<raw>(?:u8|[uUL])?R"(?P<delimiter>[^()\\\s]{0,16})\(.*?\)(?P=delimiter)")
+    |(?P<cut>/\*|(?:u8|[uUL])?R"[^()\\\s]{0,16}(?:\(|\Z)|(?:u8|[uUL])?(?:"(?:\\.|[^"\\\n])*\\?\Z|'(?:\\.|[^'\\\n])*\\?\Z))
     |(?P<string>(?:u8|[uUL])?"(?:\\.|[^"\\\n])*")|(?P<char>(?:u8|[uUL])?'(?:\\.|[^'\\\n])+')
     |(?P<number>\.?[0-9](?:'?[A-Za-z0-9_.]|(?<=[eEpP])[+-])*)|(?P<word>[^\W\d]\w*)
     |(?P<punct>\.\.\.|->\*|->|\+\+|--|::|&&|\|\||[-+*/%^&|=!]=|\.\*|[-+*/%^&|~!=<>?:;,.()\[\]{}])""",
     re.X,
 )
+_COMMENT = re.compile(r"(?s)/\*.*?\*/|//.*")
+_INCLUDE = re.compile(r'<[^>\n]+>|"[^"\n]+"|[A-Za-z_]\w*(?:\(.*\))?')
 _NUMBER = re.compile(
     r"(?:0[xX](?:[0-9a-fA-F]+(?:'[0-9a-fA-F]+)*)?(?:\.[0-9a-fA-F]*)?(?:[pP][+-]?[0-9]+)?|0[bB][01]+(?:'[01]+)*"
     r"|(?:[0-9]+(?:'[0-9]+)*)?\.?[0-9]*(?:'[0-9]+)*(?:[eE][+-]?[0-9]+)?)"
@@ -152,76 +157,146 @@ def grammar() -> Grammar:
     return Grammar(RULES, "unit")
 
 
-def _branches(text: str) -> str | None:
-    """``text`` with directives blanked and only the first branch of conditional groups; None if they are wrong."""
-    if "#" not in text:
-        return text
-    out, stack, done, at = [], [], [], 0
-    # Comments and literals are stepped over so that a # within them is none.
-    step = re.compile(
-        r"(?s)//(?:\\\n|[^\n])*|/\*.*?\*/|(?:u8|[uUL])?R\"(?P<d>[^()\\\s]{0,16})\(.*?\)(?P=d)\"|\"(?:\\.|[^\"\\\n])*\"|(?<![0-9a-zA-Z])'(?:\\.|[^'\\\n])+'|(?P<line>(?m:^)[ \t]*\#(?P<rest>(?:\\\n|/\*.*?\*/|[^\n])*))"
-    )
-    for m in step.finditer(text):
-        if m["line"] is None:
-            continue
-        if all(stack):
-            out.append(text[at : m.start()])
-        at = m.end()
-        rest = re.sub(r"(?s)/\*.*?\*/|//.*", " ", m["rest"]).strip()
-        word = re.match(r"[A-Za-z_]*", rest)[0]
-        if rest and word not in _DIRECTIVES:
-            if all(stack):
-                return None
-            continue
-        if word in ("if", "ifdef", "ifndef"):
-            taken = not (word == "if" and rest[2:].strip() in ("0", "false"))
-            stack.append(taken)
-            done.append(taken)
-        elif word.startswith("el"):
-            if not stack:
-                return None
-            stack[-1] = not done[-1] and (word == "else" or rest[4:].strip() not in ("0", "false"))
-            done[-1] = done[-1] or stack[-1]
-        elif word == "endif":
-            if not stack:
-                return None
-            stack.pop()
-            done.pop()
-        elif word == "include" and all(stack) and not re.fullmatch(r'include\s*(?:<[^>\n]+>|"[^"\n]+"|[A-Za-z_]\w*(?:\(.*\))?)', rest):
-            return None
-    if stack:
-        return None
-    out.append(text[at:])
-    return "\n".join(out)
-
-
-def tokens(text: str) -> list[str]:
-    """Token classes of a translation unit; what no token can be made of ends the list with ``BAD``."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    text = _branches(text)
-    if text is None or "\0" in text:
-        return [BAD]
+@dataclass
+class _Branch:
+    """A run of text within a conditional group: spans of tokens and groups, and how many readings it takes."""
+
+    items: list = field(default_factory=list)
+    start: int = 0
+    dead: bool = False
+    n: int = 1
+
+
+@dataclass
+class _Group:
+    """Branches that exclude one another.  The one where nothing is defined is the first reading, so that
+    groups under the same condition agree; ``taken``: a literal 1 leaves nothing to the branches behind."""
+
+    negated: bool
+    taken: bool = False
+    closed: bool = False
+    branches: list[_Branch] = field(default_factory=list)
+    n: int = 1
+
+    def finish(self) -> None:
+        if not self.closed and not self.taken:
+            self.branches.append(_Branch())
+        live = [b for b in self.branches if not b.dead]
+        if not (self.negated and len(live) == 2):
+            live = live[-1:] + live[:-1]
+        self.branches, self.n = live, sum(b.n for b in live)
+
+
+_ZERO, _ONE = ("0", "false"), ("1", "true")
+
+
+def _spans(top: _Branch, k: int) -> list[tuple[int, int]]:
+    """The spans of the ``k``-th reading in order."""
+    out, stack = [], [(top, k)]
+    while stack:
+        item, k = stack.pop()
+        if isinstance(item, tuple):
+            out.append(item)
+        elif isinstance(item, _Branch):
+            stack.extend((x, k) for x in reversed(item.items))
+        else:
+            k = min(k, item.n - 1)
+            for branch in item.branches:
+                if k < branch.n:
+                    stack.append((branch, k))
+                    break
+                k -= branch.n
+    return out
+
+
+def tokens(text: str) -> Tokens:
+    """Token classes of a translation unit; what no token can be made of ends them with ``BAD``."""
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    if "\0" in text:
+        return Tokens([BAD])
     out: list[str] = []
-    at, end, match = 0, len(text), _LEX.match
+    branch, stack, cut, some = _Branch(), [], False, False
+    at, end, match, dead = 0, len(text), _LEX.match, False
+
+    def leave() -> None:
+        """End the branch that is being read."""
+        branch.items.append((branch.start, len(out)))
+        branch.n = max([x.n for x in branch.items if isinstance(x, _Group)] + [1])
+
     while at < end:
         m = match(text, at)
         if m is None:
+            if dead:
+                at = text.find("\n", at) + 1 or end
+                continue
             out.append(BAD)
-            return out
-        kind, value, at = m.lastgroup, m[0], m.end()
+            break
+        kind, value = m.lastgroup, m[0]
+        if kind == "cut":
+            if dead and not value.endswith("*"):
+                at = text.find("\n", at) + 1 or end
+                continue
+            cut = True
+            break
+        at = m.end()
         if kind == "space" or kind == "comment":
             continue
-        if kind == "word":
+        if kind == "directive":
+            rest = _COMMENT.sub(" ", value.replace("\\\n", " ")).strip()[1:].strip()
+            word = re.match(r"[A-Za-z_]*", rest)[0]
+            condition = rest[len(word) :].strip()
+            if word in ("if", "ifdef", "ifndef"):
+                some = True
+                leave()
+                group = _Group(word == "ifndef" or condition.startswith("!"))
+                stack.append((branch, group, dead))
+                branch = _Branch(start=len(out), dead=dead or (word == "if" and condition in _ZERO))
+                group.taken, dead = word == "if" and condition in _ONE, branch.dead
+            elif word.startswith("el") or word == "endif":
+                if not stack or (stack[-1][1].closed and word != "endif"):
+                    out.append(BAD)
+                    break
+                leave()
+                outer, group, was_dead = stack[-1]
+                group.branches.append(branch)
+                if word == "endif":
+                    stack.pop()
+                    group.finish()
+                    outer.items.append(group)
+                    branch, dead = outer, was_dead
+                    branch.start = len(out)
+                else:
+                    group.closed = word == "else"
+                    branch = _Branch(start=len(out), dead=was_dead or group.taken or (word == "elif" and condition in _ZERO))
+                    group.taken, dead = group.taken or (word == "elif" and condition in _ONE), branch.dead
+            elif not dead and ((rest and word not in _DIRECTIVES) or (word == "include" and not _INCLUDE.fullmatch(condition))):
+                out.append(BAD)
+                break
+        elif dead:
+            continue
+        elif kind == "word":
             out.append(_CLASSES.get(value) or (value if value in _KEYWORDS else "ID"))
         elif kind == "punct":
             out.append(_CLASSES.get(value, value))
         elif kind == "number":
             if not _NUMBER.fullmatch(value) or _OCTAL.fullmatch(value.rstrip("uUlLzZ")):
                 out.append(BAD)
-                return out
+                break
             out.append("NUMBER")
         elif kind == "char":
             out.append("CHAR" if not _ESCAPE.search(value) else BAD)
         else:
             out.append("STRING" if kind in ("raw", "delimiter") or not _ESCAPE.search(value) else BAD)
-    return out
+    if not some:
+        return Tokens(out, None, cut)
+    cut |= bool(stack) and out[-1:] != [BAD]
+    leave()
+    while stack:
+        outer, group, _ = stack.pop()
+        group.branches.append(branch)
+        group.closed = True
+        group.finish()
+        outer.items.append(group)
+        branch, branch.start = outer, len(out)
+        leave()
+    return Tokens(out, None, cut, [_spans(branch, k) for k in range(branch.n)])

@@ -15,11 +15,27 @@ Rules must not be left-recursive.
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 _LEXEME = re.compile(r"\s*(?:(?P<rule>\w+)\s*:(?=\s)|'(?P<token>[^']+)'|(?P<name>\w+)|(?P<mark>[()\[\]|*+]))")
 MAX_CELLS = 400_000
 
 
+@dataclass
+class Tokens:
+    """Token classes of a text.
+
+    ``end`` is the number of those that stand in the text (behind it are what its end adds), ``cut`` tells that
+    the text ends within a token or an open conditional, ``readings`` are the parts to be read as one text each, as
+    spans of tokens; None: the whole.
+    """
+
+    classes: list[str]
+    end: int | None = None
+    cut: bool = False
+    readings: list[list[tuple[int, int]]] | None = None
+
+
 class Grammar:
     """Expressions are numbered tuples: ('tok', t), ('seq', a, b), ('alt', ...), ('star', a), ('ref', name), ('eps',)."""
 
@@ -204,3 +220,21 @@ class Grammar:
                 return i
             language = after
         return None if self.accepts[language] else len(tokens)
+
+    def verdict(self, text: Tokens) -> tuple[bool, int | None]:
+        """(truncated, failing): (False, None) if every reading is of the language, else the first token with an empty
+        derivative or, where no token fails but the text breaks off, the number of its tokens."""
+        end = len(text.classes) if text.end is None else text.end
+        least = end if text.cut else None
+        for spans in text.readings or [[(0, len(text.classes))]]:
+            at = self.failure([c for a, b in spans for c in text.classes[a:b]] if text.readings else text.classes)
+            for a, b in spans:
+                if at is None or at < b - a:
+                    at = None if at is None else a + at
+                    break
+                at -= b - a
+            else:
+                at = end
+            if at is not None:
+                least = min(at, end if least is None else least)
+        return least == end and least is not None, least

@@ -14,7 +14,7 @@ import token as T
 import tokenize
 import warnings
 
-from codeloom.llm.derivatives import Grammar
+from codeloom.llm.derivatives import Grammar, Tokens
 
 BAD = "BAD"
 SOFT = frozenset({"match", "case", "type", "_"})
@@ -146,14 +146,26 @@ def _string(text: str) -> str:
     return "BYTES" if "b" in prefix else "STRING"
 
 
-def tokens(text: str) -> list[str]:
-    """Token classes of a module; what no token can be made of ends the list with ``BAD``."""
+def _breaks_off(error: Exception, text: str) -> bool:
+    """Whether the tokenizer met the end of the text within a bracket, a string or a line to be continued."""
+    if not isinstance(error, tokenize.TokenError):
+        return False
+    message, (line, _) = error.args
+    if "EOF" in message or "triple-quoted" in message:
+        return True
+    return "unterminated" in message and line > text.count("\n")
+
+
+def tokens(text: str) -> Tokens:
+    """Token classes of a module; what no token can be made of ends them with ``BAD``.
+
+    The end of the text adds the tokens that close a line and its blocks; they are not of the text itself.
+    """
     out: list[str] = []
     if "\0" in text:
-        return [BAD]
-    if text.startswith("﻿"):
-        text = text[1:]
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+        return Tokens([BAD])
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    end, cut = 0, False
     try:
         with warnings.catch_warnings():
             warnings.simplefilter("ignore")
@@ -161,7 +173,8 @@ def tokens(text: str) -> list[str]:
             for kind, value, *_ in tokenize.generate_tokens(io.StringIO(text).readline):
                 if kind == T.NAME:
                     if conversion and value not in ("r", "s", "a"):
-                        return [*out, BAD]
+                        out.append(BAD)
+                        break
                     out.append(value if value in KEYWORDS or value in SOFT else "NAME" if value.isidentifier() else BAD)
                 elif kind == T.OP:
                     out.append(_OPERATORS.get(value, value))
@@ -172,19 +185,12 @@ def tokens(text: str) -> list[str]:
                 else:
                     out.append(BAD if kind == T.ERRORTOKEN else T.tok_name[kind])
                 conversion = kind == T.OP and value == "!"
-    except (tokenize.TokenError, SyntaxError, ValueError):
-        out.append(BAD)
-    return out
-
-
-def parses(text: str) -> bool:
-    """The interpreter's own verdict, used to confirm."""
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text.removeprefix("﻿"))
-        return True
-    except (SyntaxError, ValueError):
-        return False
-    except (RecursionError, MemoryError):
-        return True
+                if value:
+                    end = len(out)
+            else:
+                return Tokens(out, end)
+    except (tokenize.TokenError, SyntaxError, ValueError) as error:
+        cut = _breaks_off(error, text)
+        if not cut:
+            out.append(BAD)
+    return Tokens(out, None, cut)

@@ -36,12 +36,10 @@ def _grammar(language: str) -> Grammar:
 
 def check_text(text: str, language: str) -> tuple[bool, str | None, int | None, int]:
     """(invalid, 'error' or 'truncated', index of the failing token, number of tokens)."""
-    module = python_syntax if language == PYTHON else cpp_syntax
-    tokens = module.tokens(text)
-    at = _grammar(language).failure(tokens)
-    if at is None or (language == PYTHON and python_syntax.parses(text)):
-        return False, None, None, len(tokens)
-    return True, "truncated" if at == len(tokens) else "error", at, len(tokens)
+    tokens = (python_syntax if language == PYTHON else cpp_syntax).tokens(text)
+    truncated, at = _grammar(language).verdict(tokens)
+    n = len(tokens.classes) if tokens.end is None else tokens.end
+    return at is not None, None if at is None else "truncated" if truncated else "error", at, n
 
 
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
