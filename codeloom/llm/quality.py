@@ -4,8 +4,7 @@ One pass over the texts gives a compact row of statistics per document.  A
 Gaussian mixture with diagonal covariances is fitted to the standardized
 statistics of all documents by expectation-maximization, each step one
 aggregation over the rows; components get the label that inspected examples
-carry.  Documents whose most probable label is not prose are checked
-against the share of their visible characters that is not prose.
+carry, and a document the label of its components with the greatest posterior.
 """
 
 from __future__ import annotations
@@ -33,6 +32,9 @@ COMMON = frozenset(
     desde ya no""".split()
 )
 STATISTICS = ("n_words", "mean_word_length", "symbol_share", "closed_lines", "common_share", "prose_share", "list_share", "table_share", "repeated_share", "digit_share", "clutter_share")
+#: Those that the mixture is fitted to.  Repetition is 0 in nearly all texts, so its variance would make any
+#: repeated passage an outlier; it is part of the clutter.
+MIXED = tuple(s for s in STATISTICS if s != "repeated_share")
 _SCHEMA = "doc_id long, lang string, n_visible long, " + ", ".join(f"{s} double" for s in STATISTICS)
 MAX_LABELLED = 20_000
 COMPONENTS_PER_LABEL = 3
@@ -174,11 +176,11 @@ def fit_mixture(statistics: DataFrame, labelled: DataFrame, *, steps: int = STEP
 
     ``labelled`` (doc_id, label) with at most ``max_labelled`` rows read gives the
     starting centres and, at the end, the label of each component: the one with
-    the most responsibility among the examples.  A component without examples
-    takes the label of the nearest one that has some.  A wide background component
+    the most responsibility among the examples.  A component without examples is
+    named by what most of the characters of its mean belong to.  A wide background component
     takes what is unlike all others.  Without any usable example all is prose.
     """
-    names = list(STATISTICS)
+    names = list(MIXED)
     rows = statistics.where("n_visible > 0").select("doc_id", *names)
     moments = rows.agg(*[F.avg(n).alias(f"m_{n}") for n in names], *[F.stddev_pop(n).alias(f"s_{n}") for n in names], F.count(F.lit(1)).alias("n")).first()
     if not moments["n"]:
@@ -223,15 +225,16 @@ def fit_mixture(statistics: DataFrame, labelled: DataFrame, *, steps: int = STEP
     r, _ = model.posteriors(examples[names].to_numpy(float))
     votes = np.array([[r[kinds == label, j].sum() for label in LABELS] for j in range(k)])
     has = votes.sum(1) >= 0.5
+    shares = dict(zip(names, (model.means[:k] * scale + centre).T))
+    made_of = np.stack([shares["prose_share"], shares["list_share"], shares["table_share"], shares["clutter_share"] - shares["list_share"] - shares["table_share"]], axis=1)
     for j in range(k):
-        source = j if has[j] or not has.any() else int(np.where(has, ((model.means[:k] - model.means[j]) ** 2).sum(1), np.inf).argmin())
-        model.labels[j] = LABELS[int(votes[source].argmax())]
+        model.labels[j] = LABELS[int((votes if has[j] else made_of)[j].argmax())]
     return model
 
 
 def classify(statistics: DataFrame, model: Mixture) -> DataFrame:
-    """(doc_id, lang, n_visible, clutter_share, label, p_prose): the most probable label; blank texts are junk."""
-    names = list(STATISTICS)
+    """(doc_id, lang, n_visible, label, p_prose): the most probable label; blank texts are junk."""
+    names = list(MIXED)
 
     def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = np.array([[name == x for x in LABELS] for name in model.labels], dtype=float)
@@ -240,11 +243,11 @@ def classify(statistics: DataFrame, model: Mixture) -> DataFrame:
             p = p @ of
             blank = pdf["n_visible"].to_numpy() == 0
             best = np.where(blank, "junk", np.array(LABELS)[p.argmax(1)]) if len(pdf) else np.array([], dtype=str)
-            out = pdf[["doc_id", "lang", "n_visible", "clutter_share"]].copy()
+            out = pdf[["doc_id", "lang", "n_visible"]].copy()
             out["label"], out["p_prose"] = best, np.where(blank, 0.0, p[:, 0])
             yield out
 
-    return statistics.mapInPandas(label, "doc_id long, lang string, n_visible long, clutter_share double, label string, p_prose double")
+    return statistics.mapInPandas(label, "doc_id long, lang string, n_visible long, label string, p_prose double")
 
 
 def labelled_majority(labels: DataFrame) -> DataFrame:
@@ -266,11 +269,6 @@ def label_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def not_prose(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id) of natural-language documents that are not prose, or blank.
-
-    The mixture's label names the candidates; of these, more than half of the visible characters must lie
-    outside of prose and fenced code.
-    """
+    """(doc_id) of natural-language documents that the mixture labels other than prose, or that are blank."""
     found = label_documents(documents, labels)
-    doubt = (F.col("n_visible") == 0) | ((F.col("label") != "prose") & (F.col("clutter_share") > 0.5))
-    return found.where(doubt & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return found.where((F.col("label") != "prose") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
