@@ -1,10 +1,10 @@
 """Functions paired with their documentation.
 
 Each unit of source text is scanned for functions and for candidate comments
-(string statements and comments).  Parameter tags, names and distance score every
-link between them, a bipartite assignment picks the best set of links, and links
-that are implausible (not the docstring, not directly before the definition) or
-whose description says nothing are rejected.
+(string statements and comments).  Position, parameter tags, names and distance
+score the links between them, implausible ones are rejected, a bipartite
+assignment picks the best set of those that remain, and descriptions that say
+nothing are dropped.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from __future__ import annotations
 import ast
 import re
 import warnings
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,7 +23,13 @@ from pyspark.sql import functions as F
 from codeloom.operators.latest import latest_by
 
 PYTHON, CPP = "python", "cpp"
-PLAUSIBLE = 4.0
+#: Least score of a link.  A docstring or a comment directly before the definition has more than twice what any
+#: other link can reach, so no assignment gains by taking it from its function; a comment elsewhere needs both
+#: parameter tags and nearness.
+PLAUSIBLE = 2.0
+OWN, TAGS, NAMED, NEAR = 6.0, 1.5, 0.25, 1.0
+#: Links over a greater distance (characters) than this cannot be plausible: NEAR / (1 + gap / 100) is too small.
+FARTHEST = int(100 * (NEAR / (PLAUSIBLE - TAGS - NAMED) - 1))
 
 #: Words that only frame a description.
 GLUE = frozenset(
@@ -51,11 +58,14 @@ _CODE_LINE = re.compile(
     r"|(?:if|elif|for|while|def|class|with|else|try|except|finally)\b.*:|>>>.*|\.\.\. .*|#\s*(?:include|define|if|endif).*|@\w+)\s*$"
 )
 _STRING = r"(?i:\b[rbuf]{1,2})?(?:\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')"
-_PY = re.compile(rf"(?s)(?P<string>{_STRING})|(?P<comment>\#[^\n]*)|(?P<def>\bdef[ \t\\\n]+(?P<name>\w+))|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<colon>:)")
+_PY = re.compile(rf"(?s)(?P<string>{_STRING})|(?P<comment>\#[^\n]*(?:\n[ \t]*\#[^\n]*)*)|(?P<def>\bdef[ \t\\\n]+(?P<name>\w+))|(?P<open>[(\[{{])|(?P<close>[)\]}}])|(?P<colon>:)")
+_PY_MARK = re.compile(r"(?m)^[ \t]*#+[ \t]?")
 _SKIP = re.compile(r"(?:[ \t\f\r]*(?:#[^\n]*)?(?:\\\r?\n|\n))*[ \t\f]*")
 _ONE_STRING = re.compile(rf"(?s)({_STRING})[ \t\f]*(?:\\\r?\n[ \t\f]*)?")
 _STATEMENT_END = re.compile(r"[ \t\f\r]*(?:$|\n|;|#)")
 _CPP_LEAD = re.compile(r"(?s)(?:\s+|//[^\n]*(?:\\\n[^\n]*)*|/\*.*?(?:\*/|$))*")
+_CPP_PIECE = re.compile(r"(?s)//[^\n]*(?:(?<=\\)\n[^\n]*)*|/\*.*?(?:\*/|$)")
+_CLASS = re.compile(r"(?s)(?:\s*template\s*<[^;{()]*>)?\s*(?:class|struct|union|enum|namespace)\b[^({;]*[{;]")
 _CPP_ITEM = re.compile(r"(?s)(//[^\n]*(?:\n[ \t]*//[^\n]*)*|/\*.*?\*/)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
 _CPP_MARK = re.compile(r"(?m)^[ \t]*(?://[/!]*<?|/\*+[!<]*|\*+(?!/))?[ \t]?|[ \t]*\*+/[ \t]*$")
 
@@ -144,24 +154,59 @@ def assign(score: list[list[float]]) -> list[int]:
 
 
 def link_score(function: Function, comment: Comment, index: int) -> float:
-    """Position as documentation counts most, then parameter tags, the function's name, and nearness."""
-    score = PLAUSIBLE if comment.owner == index else 0.0
+    """Position as documentation, parameter tags, the function's name, and nearness."""
+    score = OWN if comment.owner == index else 0.0
     if comment.tags and function.parameters:
-        score += 1.5 * len(comment.tags & set(function.parameters)) / len(function.parameters)
+        score += TAGS * len(comment.tags & set(function.parameters)) / max(len(comment.tags), len(function.parameters))
     if function.name and function.name in comment.text:
-        score += 0.25
+        score += NAMED
     gap = min(abs(comment.start - function.body), abs(function.start - comment.end))
-    return score + 1 / (1 + gap / 100)
+    return score + NEAR / (1 + gap / 100)
+
+
+def plausible_links(functions: list[Function], comments: list[Comment]) -> dict[int, dict[int, float]]:
+    """Function -> comment -> score of the links that are plausible: a function's own comment, and comments with
+    tags that stand near it."""
+    out: dict[int, dict[int, float]] = {i: {} for i in range(len(functions))}
+    for j, c in enumerate(comments):
+        if c.owner is not None:
+            out[c.owner][j] = link_score(functions[c.owner], c, c.owner)
+    tagged = [(c.start, j) for j, c in enumerate(comments) if c.tags]
+    if tagged:
+        tagged.sort()
+        longest = max(c.end - c.start for c in comments)
+        for i, f in enumerate(functions):
+            lo, hi = bisect_left(tagged, (f.start - FARTHEST - longest, -1)), bisect_right(tagged, (f.body + FARTHEST, len(comments)))
+            for _, j in tagged[lo:hi]:
+                score = link_score(f, comments[j], i)
+                if score >= PLAUSIBLE:
+                    out[i][j] = score
+    return out
 
 
-def link_comments(functions: list[Function], comments: list[Comment]) -> list[int | None]:
-    """For each function the index of its comment, or None where the best link is implausible."""
-    if not functions or not comments:
-        return [None] * len(functions)
-    width = max(len(comments), len(functions))
-    score = [[link_score(f, c, i) for c in comments] + [0.0] * (width - len(comments)) for i, f in enumerate(functions)]
-    got = assign(score)
-    return [j if 0 <= j < len(comments) and score[i][j] >= PLAUSIBLE else None for i, j in enumerate(got)]
+def link_comment(functions: list[Function], comments: list[Comment], of: int = 0) -> int | None:
+    """The index of the comment that the best assignment of all functions and comments gives to function ``of``.
+
+    Links of functions that no chain of plausible links connects to it cannot bear on it and are left aside.
+    """
+    links = plausible_links(functions, comments)
+    users: dict[int, list[int]] = {}
+    for i, row in links.items():
+        for j in row:
+            users.setdefault(j, []).append(i)
+    near, todo = {of}, [of]
+    while todo:
+        for j in links[todo.pop()]:
+            fresh = [i for i in users[j] if i not in near]
+            near.update(fresh)
+            todo.extend(fresh)
+    rows = sorted(near)
+    columns = sorted({j for i in rows for j in links[i]})
+    if not columns:
+        return None
+    spare = len(rows)
+    got = assign([[links[i].get(j, 0.0) for j in columns] + [0.0] * spare for i in rows])[rows.index(of)]
+    return columns[got] if got < len(columns) and columns[got] in links[of] else None
 
 
 def _docstring(text: str, at: int) -> tuple[str, int, int] | None:
@@ -224,7 +269,7 @@ def scan_python(text: str) -> tuple[list[Function], list[Comment]]:
             if depth == 0 and header is None and m.start() not in own_strings and not text[line : m.start()].strip() and m[0][:1] in "\"'":
                 comments.append(_comment(m[0].strip("\"'"), m.start(), m.end(), None))
         elif kind == "comment" and header is None:
-            comments.append(_comment(m[0].lstrip("#").strip(), m.start(), m.end(), None))
+            comments.append(_comment(_PY_MARK.sub("", m[0]).strip(), m.start(), m.end(), None))
     return functions, comments
 
 
@@ -241,14 +286,17 @@ def _comment(text: str, start: int, end: int, owner: int | None) -> Comment:
 def scan_cpp(text: str) -> tuple[list[Function], list[Comment]]:
     """The unit's definition and its candidate comments; the block directly before it is its own."""
     lead = _CPP_LEAD.match(text).end()
-    comments = []
-    head = text[:lead]
-    if head.strip():
-        blocks = re.split(r"\n[ \t\r]*\n(?=\s*\S)", head.strip())
-        near = blocks[-1]
-        at = head.rindex(near)
-        if not re.search(r"\n[ \t\r]*\n[ \t\r]*$", head[at + len(near) :] + text[lead:lead]):
-            comments.append(_comment(clean_cpp(near), at, lead, 0))
+    if _CLASS.match(text, lead):
+        return [], []
+    # Comments without a blank line between them are one; directly before: no blank line up to the definition.
+    comments, blocks = [], []
+    for m in _CPP_PIECE.finditer(text, 0, lead):
+        if blocks and text.count("\n", blocks[-1][1], m.start()) < 2:
+            blocks[-1][1] = m.end()
+        else:
+            blocks.append([m.start(), m.end()])
+    for start, end in blocks:
+        comments.append(_comment(clean_cpp(text[start:end]), start, end, 0 if text.count("\n", end, lead) < 2 else None))
     brace = text.find("{", lead)
     brace = len(text) if brace < 0 else brace
     m = re.compile(r"([~\w]+|operator\s*[^\s(]+)\s*\(").search(text, lead, brace)
@@ -266,12 +314,13 @@ def clean_cpp(comment: str) -> str:
     return _CPP_MARK.sub("", comment.replace("\r", "")).strip()
 
 
-def describe(text: str | None, language: str) -> str | None:
-    """The description of the unit's own function if it is documented in earnest, else None."""
+def describe(text: str | None, language: str) -> tuple[str, bool] | None:
+    """The description of the unit's own function if it is documented in earnest, else None; and whether it stands
+    where the language puts documentation (Python: its docstring; C++: directly before the definition)."""
     if not text or not text.strip():
         return None
     if language == PYTHON:
-        if "def" not in text or ('"' not in text and "'" not in text):
+        if "def" not in text or ('"' not in text and "'" not in text and "#" not in text) or text.lstrip().startswith("class "):
             return None
         functions, comments = scan_python(text)
     else:
@@ -280,34 +329,39 @@ def describe(text: str | None, language: str) -> str | None:
         functions, comments = scan_cpp(text)
     if not functions:
         return None
-    own = link_comments(functions, comments)[0]
+    own = link_comment(functions, comments)
     if own is None:
         return None
-    found = comments[own].text
-    return None if is_trivial(found, functions[0].name, functions[0].parameters) else found.strip()
+    found = comments[own]
+    return None if is_trivial(found.text, functions[0].name, functions[0].parameters) else (found.text.strip(), found.owner == 0)
 
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     warnings.simplefilter("ignore")
     for pdf in batches:
         out = pdf.drop(columns=["source_text"])
-        out["description"] = [describe(t, PYTHON if (p or "").lower().endswith((".py", ".pyi")) else CPP) for t, p in zip(pdf["source_text"], pdf["path"])]
+        got = [describe(t, PYTHON if (p or "").lower().endswith((".py", ".pyi")) else CPP) or (None, None) for t, p in zip(pdf["source_text"], pdf["path"])]
+        out["description"] = [d for d, _ in got]
+        out["in_place"] = pd.array([own for _, own in got], dtype="boolean")
         yield out.drop(columns=["path"])
 
 
 def documented_functions(units: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(qualified_name, description) of the functions and methods documented in earnest.
+    """(qualified_name, description, in_place) of the functions and methods documented in earnest.
+
+    ``in_place`` tells the docstring or the comment directly before the definition
+    from a comment that its tags and nearness link to the function.
 
     ``units``: qualified_name, path, source_text, version; ``kinds``:
     qualified_name, kind, version; other columns are ignored.  Per name the
     greatest version holds in both (null is oldest; ties: documented before not,
     then the greater description).  Names without a kind of function or method,
     null names, and null or empty texts give no rows.  Texts are read map-side, so
-    only descriptions are shuffled.
+    only descriptions are shuffled; texts of classes are passed over.
     """
     read = units.where("qualified_name is not null").select("qualified_name", "path", "source_text", "version")
-    schema = f"qualified_name string, version {dict(units.dtypes)['version']}, description string"
+    schema = f"qualified_name string, version {dict(units.dtypes)['version']}, description string, in_place boolean"
     described = read.mapInPandas(_describe, schema)
-    described = latest_by(described, ["qualified_name"], "version", ["description"]).where("description is not null")
+    described = latest_by(described, ["qualified_name"], "version", ["description", "in_place"]).where("description is not null")
     kinds = latest_by(kinds.where("qualified_name is not null"), ["qualified_name"], "version", ["kind"])
     return described.join(kinds.where(F.col("kind").isin("function", "method")), "qualified_name", "left_semi")

@@ -43,14 +43,15 @@ def _documented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _documented(spark, sf_dir).select("qualified_name")
+    """Documentation is what stands in its place; comments that are only linked by tags and nearness are not."""
+    return _documented(spark, sf_dir).where("in_place").select("qualified_name")
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code and description of each function documented in earnest."""
+    """Code and description of each function documented in earnest, also by a comment out of place that is linked to it."""
     units = table(spark, sf_dir, "code_units").select(trimmed(F.col("qualified_name")).alias("qualified_name"), "loaded_at", "source_text")
     code = latest_by(units.where("qualified_name is not null"), ["qualified_name"], "loaded_at", ["source_text"])
-    return _documented(spark, sf_dir).join(code, "qualified_name").select("qualified_name", F.col("source_text").alias("code"), "description")
+    return _documented(spark, sf_dir).join(code, "qualified_name").select("qualified_name", F.col("source_text").alias("code"), "description", "in_place")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from itertools import permutations
 
 import pytest
 
-from codeloom.llm.docpairs import CPP, PYTHON, assign, describe, documented_functions, is_trivial, scan_python
+from codeloom.llm.docpairs import CPP, PYTHON, Comment, Function, assign, describe, documented_functions, is_trivial, link_comment, link_score, scan_python
 
 
 def test_assignment_is_optimal():
@@ -42,7 +42,8 @@ def test_assignment_is_optimal():
     ],
 )
 def test_python(text, found):
-    assert (describe(text, PYTHON) is not None) == found
+    got = describe(text, PYTHON)
+    assert (got is not None and got[1]) == found
 
 
 @pytest.mark.parametrize(
@@ -62,7 +63,40 @@ def test_python(text, found):
     ],
 )
 def test_cpp(text, found):
-    assert (describe(text, CPP) is not None) == found
+    got = describe(text, CPP)
+    assert (got is not None and got[1]) == found
+
+
+def test_no_docstring_is_lost_to_another_comment():
+    text = 'def outer(alpha):\n    """Runs the thing.\n\n    :param beta: of the inner one\n    """\n{}    def inner(beta):\n        return beta\n    return inner\n'
+    assert describe("@deco\n    # :param alpha: how far it goes\n    " + text.format(""), PYTHON)[0].startswith("Runs the thing.")
+    assert describe(text.format("    # :param alpha: how far it goes\n"), PYTHON)[1]
+    assert describe(text.format("    # :param beta: how far it goes\n    # :param alpha: and back\n"), PYTHON)[1]
+
+
+def test_tags_names_and_distance_pick_among_comments():
+    # No docstring: the nearest comment with the function's own parameters is linked, out of place.
+    text = "def outer(alpha, gamma):\n    # :param alpha: how far the walk goes\n    # :param gamma: how fast\n    x = 1\n    # :param beta: depth of the nested step\n    def inner(beta):\n        return beta\n    return inner\n"
+    functions, comments = scan_python(text)
+    assert [link_comment(functions, comments, i) for i in (0, 1)] == [0, 1]
+    got = describe(text, PYTHON)
+    assert got[0].startswith(":param alpha:") and not got[1]
+    # Both functions would take the first comment; the assignment gives each one of its own.
+    f, g = Function("f", ["a", "b"], 0, 10), Function("g", ["a", "b"], 60, 70)
+    shared, worse = Comment("f", 11, 30, None, {"a", "b"}), Comment("", 20, 40, None, {"a", "b"})
+    assert [link_comment([f, g], [shared, worse], i) for i in (0, 1)] in ([0, 1], [1, 0])
+    total = sum(link_score(x, c, i) for i, (x, c) in enumerate(zip((f, g), ((shared, worse), (worse, shared))[link_comment([f, g], [shared, worse])])))
+    assert total == pytest.approx(max(link_score(f, a, 0) + link_score(g, b, 1) for a, b in ((shared, worse), (worse, shared))))
+    # Far away or without tags: implausible.
+    assert describe("def f(a):\n    # Explains it well.\n    return a", PYTHON) is None
+    assert describe("def f(a):\n" + "    a = a + 1\n" * 100 + "    # :param a: far from here\n", PYTHON) is None
+
+
+def test_blocks_before_a_cpp_definition():
+    assert describe("// License of the file.\n\n/// Adds two numbers.\nint f(int a) {}", CPP) == ("Adds two numbers.", True)
+    assert describe("/// Adds two numbers.\n\nint f(int a) {}", CPP) is None
+    assert describe("/// \\param a adds two numbers\n\nint f(int a) {}", CPP) == ("\\param a adds two numbers", False)
+    assert describe("/// Holds things.\nclass A : public B<int> {\n /// Adds two.\n int f(int a); };", CPP) is None
 
 
 def test_docstrings_as_python_defines_them():
