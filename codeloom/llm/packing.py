@@ -122,21 +122,29 @@ def pack_windows(sizes: DataFrame, budgets: DataFrame, rows_per_bucket: int = RO
     histogram = counts.where("length > 0").groupBy("budget_name", "capacity", "length").agg(F.sum("n").alias("n"))
     plan = work.write(histogram.groupBy("budget_name", "capacity").applyInPandas(_plan_rows, _PLAN), "plan")
 
-    # Rank among pieces of equal length: an offset per bucket and a row number within it.
+    # Rank among pieces of equal length: an offset per cell and a row number within it.  Whole windows are summed per
+    # length first, so that no task sees more than the cells of one length or the lengths of one budget.
     before = W.partitionBy("budget_name", "capacity", "length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    over = W.partitionBy("budget_name", "capacity").orderBy("length", "bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.coalesce(F.sum("whole").over(over), F.lit(0)).alias("whole_offset"))
+    per_length = counts.groupBy("budget_name", "capacity", "length").agg(F.sum("whole").alias("whole"))
+    shorter = W.partitionBy("budget_name", "capacity").orderBy("length").rowsBetween(W.unboundedPreceding, -1)
+    starts = per_length.select("budget_name", "capacity", "length", F.coalesce(F.sum("whole").over(shorter), F.lit(0)).alias("whole_start"))
+    offsets = counts.select(*cell, "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), F.coalesce(F.sum("whole").over(before), F.lit(0)).alias("whole_before"))
+    offsets = offsets.join(starts.hint("merge"), ["budget_name", "capacity", "length"]).withColumn("whole_offset", F.col("whole_before") + F.col("whole_start"))
+    # A cell takes only the ranges of the plan that its own ranks fall into.
+    overlap = (F.col("first_rank") < F.col("offset") + F.col("n")) & (F.col("offset") < F.col("last_rank"))
+    ranges = offsets.join(plan.hint("merge"), ["budget_name", "capacity", "length"]).where(overlap)
+    ranges = ranges.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("first_rank", "last_rank", "per_window", "first_window"))).alias("ranges"))
+    offsets = offsets.select(*cell, "offset", "whole_offset").join(ranges.hint("merge"), cell, "left")
+    offsets = work.write(offsets, "offsets")
     within = W.partitionBy(*cell).orderBy("doc_id", "tokens")
     upto = within.rowsBetween(W.unboundedPreceding, -1)
     ranked = pieces.select("*", (F.row_number().over(within) - 1).alias("row"), F.coalesce(F.sum("whole").over(upto), F.lit(0)).alias("whole_row"))
-    ranked = ranked.join(offsets, cell).withColumn("rank", F.col("row") + F.col("offset")).withColumn("whole_rank", F.col("whole_row") + F.col("whole_offset"))
+    # Pieces are partitioned and sorted by cell already; the cells grow with the documents and are merged, not broadcast.
+    ranked = ranked.join(offsets.hint("merge"), cell).withColumn("rank", F.col("row") + F.col("offset")).withColumn("whole_rank", F.col("whole_row") + F.col("whole_offset"))
 
-    # The plan's size is bounded by the capacities, not by the data.
-    ranges = plan.groupBy("budget_name", "capacity", "length").agg(
-        F.array_sort(F.collect_list(F.struct("first_rank", "last_rank", "per_window", "first_window"))).alias("ranges")
-    )
+    # One row per budget.
     total = plan.groupBy("budget_name", "capacity").agg(F.max(F.col("first_window") + F.col("n_windows")).alias("n_packed"))
-    placed = ranked.join(F.broadcast(ranges), ["budget_name", "capacity", "length"], "left").join(F.broadcast(total), ["budget_name", "capacity"], "left")
+    placed = ranked.join(F.broadcast(total), ["budget_name", "capacity"], "left")
     hit = F.element_at(F.filter("ranges", lambda r: (r["first_rank"] <= F.col("rank")) & (F.col("rank") < r["last_rank"])), 1)
     packed = F.coalesce("n_packed", F.lit(0))
     placed = placed.withColumn("hit", F.when(F.col("length") > 0, hit)).withColumn(
