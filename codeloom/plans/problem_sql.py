@@ -61,6 +61,34 @@ WITH refs AS (
 )
 """
 
+_OPEN = rf"""
+WITH refs AS (
+  SELECT relation_id, kind, recorded_at, target, min(loaded_at) OVER (PARTITION BY relation_id) AS first_loaded FROM (
+    SELECT relation_id, lower({_trim('kind')}) AS kind, recorded_at, loaded_at,
+      coalesce({_trim('target_qualified_name')}, {_trim('target_text')}) AS target
+    FROM relations WHERE lower({_trim('resolution')}) IN ('resolved', 'probable') AND relation_id IS NOT NULL
+  ) QUALIFY row_number() OVER (PARTITION BY relation_id ORDER BY loaded_at DESC NULLS LAST, target DESC NULLS LAST) = 1
+), arrivals AS (
+  SELECT min(m) AS lo, max(m) AS hi FROM (
+    SELECT year(loaded_at) * 12 + month(loaded_at) - 1 AS m FROM relations WHERE lower({_trim('resolution')}) IN ('resolved', 'probable')
+    UNION ALL SELECT year(loaded_at) * 12 + month(loaded_at) - 1 FROM symbols)
+), versions AS (
+  SELECT source, name, start, stop, loaded_at, coalesce(year(loaded_at) * 12 + month(loaded_at) - 1, lo) AS since FROM (
+    SELECT 's' AS source, {_trim('qualified_name')} AS name, first_seen_at AS start, deleted_at AS stop, loaded_at FROM symbols
+    UNION ALL SELECT 'e', {_trim('qualified_name')}, available_from, withdrawn_at, NULL FROM external_symbols), arrivals
+  WHERE name IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY source, name, since ORDER BY loaded_at DESC NULLS LAST, start DESC NULLS LAST, stop DESC NULLS LAST) = 1
+), lives AS (
+  SELECT *, coalesce(lead(since) OVER (PARTITION BY source, name ORDER BY since), hi + 1) AS until FROM versions, arrivals
+), judged AS (
+  SELECT relation_id, r.kind, m, count(name) AS n,
+    count(*) FILTER (WHERE name IS NOT NULL AND (start IS NULL OR recorded_at >= start) AND (stop IS NULL OR recorded_at < stop)) AS alive,
+    count(*) FILTER (WHERE name IS NOT NULL AND recorded_at >= stop) AS ended
+  FROM (SELECT refs.*, m FROM refs, arrivals, LATERAL (SELECT unnest(generate_series(coalesce(year(first_loaded) * 12 + month(first_loaded) - 1, lo), hi)) AS m)) r
+  LEFT JOIN lives ON name = target AND m >= since AND m < until GROUP BY ALL
+)
+"""
+
 _TREE = rf"""
 WITH RECURSIVE nodes AS (
   SELECT name, parent FROM (
@@ -99,6 +127,8 @@ SQL = {
     "p1_change_counts": _CHANGES + "SELECT repo, snapshot_id, change, count(*) AS n_files FROM changes GROUP BY ALL",
     "p3_found": _ORPHANS + "SELECT relation_id, reason FROM orphans",
     "p3_counts": _ORPHANS + "SELECT 'relations' AS table_name, kind, strftime(recorded_at, '%Y-%m') AS month, reason, count(*) AS n_orphans FROM orphans GROUP BY ALL",
+    "p3_open_by_period": _OPEN + """SELECT format('{:04d}-{:02d}', m // 12, m % 12 + 1) AS month, kind,
+  CASE WHEN n = 0 THEN 'missing' WHEN ended > 0 THEN 'deleted' ELSE 'late' END AS reason, count(*) AS n_open FROM judged WHERE alive = 0 GROUP BY ALL""",
     "p6_found": _CHAINS + "SELECT start AS qualified_name, status, top, steps::INTEGER AS steps FROM (SELECT * FROM lost UNION ALL SELECT * FROM turning)",
     "p6_descendants": _CHAINS.replace("), circle AS", """), below AS (
   SELECT name AS descendant, parent AS ancestor, 1 AS distance FROM nodes WHERE parent IS NOT NULL AND name NOT IN (SELECT u.start FROM up u JOIN up v ON v.start = u.node AND v.node = u.node)

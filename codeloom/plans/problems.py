@@ -10,7 +10,7 @@ from codeloom.operators.hierarchy import build_hierarchy, descendants
 from codeloom.operators.latest import latest_by
 from codeloom.operators.snapshots import snapshot_changes
 from codeloom.sources.tables import table
-from codeloom.streaming.orphans import OrphanLog, replay_orphans
+from codeloom.streaming.orphans import OrphanState, update_orphans
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def p1_change_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("repo", "snapshot_id", "change").agg(F.count(F.lit(1)).alias("n_files"))
 
 
-def _orphan_log(spark: SparkSession, sf_dir: str) -> OrphanLog:
+def _orphans(spark: SparkSession, sf_dir: str) -> OrphanState:
     relations = table(spark, sf_dir, "relations")
     references = relations.where(status(F.col("resolution")).isin("resolved", "probable")).select(
         F.col("relation_id").alias("ref_id"),
@@ -58,24 +58,25 @@ def _orphan_log(spark: SparkSession, sf_dir: str) -> OrphanLog:
         F.lit(None).cast("timestamp_ntz").alias("arrival"),
     )
     arrival = F.col("arrival").cast("timestamp")
-    return replay_orphans(references.withColumn("arrival", arrival), symbols.unionByName(external).withColumn("arrival", arrival), keep=("kind",))
+    return update_orphans(None, references.withColumn("arrival", arrival), symbols.unionByName(external).withColumn("arrival", arrival), keep=("kind",))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _orphan_log(spark, sf_dir).current().select(F.col("ref_id").alias("relation_id"), "reason")
+    return _orphans(spark, sf_dir).current().select(F.col("ref_id").alias("relation_id"), "reason")
 
 
 def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphan references per kind and month of reference."""
-    log = _orphan_log(spark, sf_dir)
-    found = log.current().join(log.references.select("ref_id", "kind", "at"), "ref_id")
+    state = _orphans(spark, sf_dir)
+    found = state.current().join(state.references.select("ref_id", "kind", "at"), "ref_id")
     month = F.date_format(F.col("at").cast("timestamp"), "yyyy-MM")
     return found.groupBy(F.lit("relations").alias("table_name"), "kind", month.alias("month"), "reason").agg(F.count(F.lit(1)).alias("n_orphans"))
 
 
 def p3_open_by_period(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orphans open after each period of arrival."""
-    return _orphan_log(spark, sf_dir).counts("kind")
+    """Orphans open after each month of arrival."""
+    month = F.format_string("%04d-%02d", F.floor(F.col("month") / 12), F.col("month") % 12 + 1).alias("month")
+    return _orphans(spark, sf_dir).counts("kind").select(month, "kind", "reason", "n_open")
 
 
 def _links(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
-from codeloom.streaming.orphans import replay_orphans
+from codeloom.streaming.orphans import OrphanState, update_orphans
 
 T = datetime(2024, 1, 15)
 
@@ -10,10 +10,18 @@ def day(n):
     return None if n is None else T + timedelta(days=n)
 
 
-def replay(spark, refs, parents, **extra):
+def update(spark, state, refs, parents):
     r = spark.createDataFrame([(i, t, day(a), day(v), k) for i, t, a, v, k in refs], "ref_id long, target string, at timestamp, arrival timestamp, kind string")
     p = spark.createDataFrame([(s, n, day(a), day(b), day(v), "x") for s, n, a, b, v in parents], "source string, name string, start timestamp, end timestamp, arrival timestamp, kind string")
-    return replay_orphans(r, p, keep=("kind",), **extra)
+    return update_orphans(state, r, p, keep=("kind",))
+
+
+def replay(spark, refs, parents):
+    return update(spark, None, refs, parents)
+
+
+def opened(state):
+    return {(r.month - state.first, r.reason): r.n_open for r in state.counts().collect()}
 
 
 def test_reasons_and_edges(spark):
@@ -31,11 +39,10 @@ def test_state_changes_over_periods(spark):
     refs = [(1, "p", 5, 5, "k"), (2, "q", 5, 5, "k")]
     parents = [("s", "p", 0, None, 40), ("s", "p", 0, 2, 60)]
     log = replay(spark, refs, parents)
-    states = [{r.ref_id: r.reason for r in log.open_at(p).collect()} for p in log.periods]
+    states = [{r.ref_id: r.reason for r in log.open_at(p).collect()} for p in range(log.first, log.last + 1)]
     assert [s.get(1) for s in states] == ["missing", None, "deleted"]
     assert all(s[2] == "missing" for s in states)
-    counts = {(r.period, r.reason): r.n_open for r in log.counts().collect()}
-    assert counts == {(0, "missing"): 2, (1, "missing"): 1, (2, "missing"): 1, (2, "deleted"): 1}
+    assert opened(log) == {(0, "missing"): 2, (1, "missing"): 1, (2, "missing"): 1, (2, "deleted"): 1}
 
 
 def test_empty(spark):
@@ -60,7 +67,7 @@ def test_against_brute_force_with_a_hot_target(spark):
             _, a, b = latest[n]
             if not (at >= a and (b is None or at < b)):
                 want.add((i, "deleted" if b is not None and at >= b else "late"))
-    got = {(r.ref_id, r.reason) for r in replay(spark, refs, parents, max_periods=5).current().collect()}
+    got = {(r.ref_id, r.reason) for r in replay(spark, refs, parents).current().collect()}
     assert got == want
 
 
@@ -69,13 +76,13 @@ def test_months_are_kept_on_a_long_history(spark):
     refs = [(1, "p", 610, 610, "k"), (2, "q", 60, 60, "k"), (3, "r", 0, 0, "k")]
     parents = [("s", "p", 600, None, 640), ("s", "p", 600, 605, 700), ("s", "r", 0, None, 885), ("e", "r", 500, None, 0)]
     log = replay(spark, refs, parents)
-    assert log.periods == list(range(30))
-    counts = {(r.period, r.reason): r.n_open for r in log.counts().collect()}
+    assert log.last - log.first == 29
+    counts = opened(log)
     want = {(m, "missing"): 1 for m in range(2, 30)} | {(20, "missing"): 2} | {(m, "late"): 1 for m in range(29)} | {(m, "deleted"): 1 for m in range(23, 30)}
     assert counts == want
 
 
-def test_rounds_do_not_change_the_log(spark):
+def test_updates_over_time_leave_the_log_of_one(spark, tmp_path):
     rng = random.Random(9)
     parents = [(rng.choice("se"), f"n{rng.randrange(30)}", rng.randrange(400), rng.choice([None, rng.randrange(200, 500)]), rng.choice([None, rng.randrange(400)])) for _ in range(150)]
     refs = [(i, "n0" if i % 3 == 0 else f"n{rng.randrange(40)}", rng.randrange(400), rng.randrange(400), "k") for i in range(2500)]
@@ -101,8 +108,20 @@ def test_rounds_do_not_change_the_log(spark):
             r = reason(i, p)
             if r:
                 want[p, r] = want.get((p, r), 0) + 1
-    logs = [replay(spark, refs, parents, max_periods=n) for n in (99, 4, 1)]
-    for log in logs:
-        assert {(r.period, r.reason): r.n_open for r in log.counts().collect()} == want
-    first, *others = [sorted((r.ref_id, r.period, r.reason or "") for r in log.verdicts.collect()) for log in logs]
-    assert all(o == first for o in others)
+    whole = replay(spark, refs, parents)
+    assert opened(whole) == want
+    # The same feeds in four runs, each from the state that the one before saved.
+    state = None
+    for n, (lo, hi) in enumerate(((-1, 3), (3, 7), (7, 8), (8, 99))):
+        part = [r for r in refs if lo < month(r[3]) <= hi], [p for p in parents if lo < month(p[4]) <= hi]
+        state = update(spark, state, *part)
+        state.save(f"{tmp_path}/{n}")
+        state = OrphanState.load(spark, f"{tmp_path}/{n}")
+    one, many = [sorted((r.ref_id, r.month, r.reason or "") for r in s.verdicts.collect()) for s in (whole, state)]
+    assert one == many and (whole.first, whole.last) == (state.first, state.last)
+    assert opened(state) == want
+    # Nothing new changes nothing; what comes late belongs to the last month.
+    again = update(spark, state, [], [])
+    assert sorted((r.ref_id, r.month, r.reason or "") for r in again.verdicts.collect()) == many
+    late = update(spark, state, [(10**6, "n-none", 0, 0, "k"), refs[0]], [("s", "n-other", 0, None, 0)])
+    assert {(r.ref_id, r.month, r.reason) for r in late.verdicts.collect()} - {(r.ref_id, r.month, r.reason) for r in state.verdicts.collect()} == {(10**6, state.last, "missing")}
