@@ -16,13 +16,13 @@ LOOKALIKES = {
 _LOOKALIKES = str.maketrans(LOOKALIKES)
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]")
 _MARKS = re.compile("[\u0300-\u036f\u1ab0-\u1aff\u20d0-\u20f0]")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>")
 _UNICODE_ESCAPE = re.compile(r"\\+(?:u([0-9A-Fa-f]{4})|u\{([0-9A-Fa-f]{1,6})\}|x([0-9A-Fa-f]{2}))")
 _ESCAPE = re.compile(r"\\+[abfnrtv0\"'/]")
 _PERCENT = re.compile(r"%([0-9A-Fa-f]{2})")
 _BROKEN = re.compile(r"(?<=[^\W\d_])[-\u2010\u2011]\s*\n[\s>#*/|;-]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
-_ASCII_WORD = re.compile(r"[a-z0-9]+")
+_ASCII = {c: chr(c).lower() if chr(c).isalnum() else " " for c in range(128)}
 
 
 def _char(match: re.Match) -> str:
@@ -47,7 +47,6 @@ def words(text: str) -> list[str]:
         if "-\n" in text or "\u2010" in text or "\u2011" in text:
             text = _BROKEN.sub("", text)
         return _WORD.findall(text)
-    text = text.lower()
     if "-\n" in text or "-\r" in text:
         text = _BROKEN.sub("", text)
-    return _ASCII_WORD.findall(text)
+    return text.translate(_ASCII).split()
