@@ -17,8 +17,7 @@ from codeloom.operators.dense import dense_search
 from codeloom.operators.latest import latest_by
 from codeloom.sources.tables import table
 
-#: Lists that p5_found visits: a share, so that the searched part does not shrink as the lists grow in number.
-FOUND = {"probes": 0.01, "least_probes": 10}
+FLOOR = 0.9
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +54,14 @@ def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar_pairs(nearest_neighbours(table(spark, sf_dir, "reuse_vectors"), **FOUND))
+    return similar_pairs(nearest_neighbours(table(spark, sf_dir, "reuse_vectors"), floor=FLOOR), FLOOR)
 
 
 def p5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five most similar vectors of each usable vector, with their names."""
     vectors = table(spark, sf_dir, "reuse_vectors")
     names = vectors.where("vec_id is not null").groupBy("vec_id").agg(F.min(trimmed(F.col("qualified_name"))).alias("name"))
-    near = nearest_neighbours(vectors, probes=0.03, rerank=32)
+    near = nearest_neighbours(vectors)
     near = near.join(names.withColumnRenamed("name", "qualified_name"), "vec_id", "left")
     near = near.join(names.select(F.col("vec_id").alias("neighbour"), F.col("name").alias("neighbour_name")), "neighbour", "left")
     return near.select("vec_id", "qualified_name", "rank", "neighbour", "neighbour_name", F.round("cosine", 6).alias("cosine"))
@@ -79,14 +78,19 @@ def _exact_five(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def p5_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of the five nearest that the index finds, for every query id divisible by 100 against all rows."""
+    """Share of the five nearest that the index finds (with p5_found's setting), for every query id divisible by 100 against all rows."""
     vectors = table(spark, sf_dir, "reuse_vectors")
     queries, exact = _exact_five(vectors)
-    near = nearest_neighbours(vectors, probes=0.03, rerank=32).select(F.col("vec_id").alias("query_id"), F.col("neighbour").alias("item"), F.lit(1).alias("hit"))
+    near = nearest_neighbours(vectors).select(F.col("vec_id").alias("query_id"), F.col("neighbour").alias("item"), F.lit(1).alias("hit"))
     both = exact.join(near, ["query_id", "item"], "left").join(queries.select("query_id", F.col("group").alias("model_id")), "query_id")
     return both.groupBy("model_id").agg(F.countDistinct("query_id").alias("n_queries"), F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"))
 
 
+def p5_recall_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether :func:`p5_recall` reaches nine tenths."""
+    return p5_recall(spark, sf_dir).select("model_id", "n_queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def p5_found_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of the pairs above 0.9 of every query id divisible by 100 that p5_found lists, by exact search."""
     queries, exact = _exact_five(table(spark, sf_dir, "reuse_vectors"))
@@ -134,4 +138,4 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_labels")).select("doc_id", "label")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_rates, p4_found, p4_pairs, p5_found, p5_neighbours, p5_recall, p5_found_recall, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_flags, p2_rates, p4_found, p4_pairs, p5_found, p5_neighbours, p5_recall, p5_recall_floor, p5_found_recall, p7_windows, p7_token_counts, p7_window_report, p8_found, p8_item_report, p9_found, p9_statistics, p9_labels)}

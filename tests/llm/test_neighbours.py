@@ -1,8 +1,7 @@
 import numpy as np
-import pandas as pd
+import pytest
 
-from codeloom.llm import problems
-from codeloom.llm.neighbours import Index, _place, kmeans, nearest_neighbours, similar_pairs, train
+from codeloom.llm.neighbours import Index, _cut, kmeans, list_count, nearest_neighbours, similar_pairs
 
 
 def frame(spark, rows):
@@ -70,26 +69,53 @@ def test_index_parts():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 64)).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    index = train(x, 10)
-    lists = index.nearest_lists(x, 3)
+    index = Index(kmeans(x, 10), np.zeros(10, int))
+    lists = index.list_order(x, 3)
     assert (lists[:, 0] == ((x[:, None] - index.centroids) ** 2).sum(2).argmin(1)).all()
-    member = np.flatnonzero(lists[:, 0] == 0)
-    codes = index.encode(x[member], np.zeros(len(member), int))
-    approx = index.distances(x[:20], 0, codes)
-    exact = ((x[:20, None] - x[member]) ** 2).sum(2)
+    r = x - index.centroids[lists[:, 0]]
+    index.codebooks = np.stack([kmeans(r[:, s : s + 8], 256, rounds=6) for s in range(0, 64, 8)])
+    codes = index.encode(x, lists[:, 0])
+    approx = index.distances(x[:20], lists[:, 0], codes, index.offsets(lists[:, 0], codes))
+    exact = ((x[:20, None] - x) ** 2).sum(2)
     assert np.corrcoef(approx.ravel(), exact.ravel())[0, 1] > 0.8
-    assert kmeans(x, 700).shape == (500, 64) and isinstance(index, Index)
-
-
-def test_found_visits_a_share_of_the_lists(spark, monkeypatch):
-    asked = {}
-    monkeypatch.setattr(problems, "table", lambda *_: None)
-    monkeypatch.setattr(problems, "nearest_neighbours", lambda _, **how: asked.update(how))
-    monkeypatch.setattr(problems, "similar_pairs", lambda _: None)
-    problems.p5_found(spark, "")
-    rng = np.random.default_rng(3)
-    for lists, visited in ((300, 10), (1152, 12), (4000, 40)):
-        index = Index(rng.normal(size=(lists, 64)).astype(np.float32), rng.normal(size=(8, 16, 8)).astype(np.float32))
-        rows = pd.DataFrame({"model_id": ["m"], "vec_id": [1], "v": [rng.normal(size=64).astype(np.float32).tobytes()]})
-        (placed,) = _place({"m": index}, asked["probes"], asked["least_probes"], iter([rows]))
-        assert len(placed["lists"][0]) == visited
+    # The table's sum is the distance to the coded vector.
+    y = index.centroids[lists[:, 0]] + np.concatenate([b[codes[:, s]] for s, b in enumerate(index.codebooks)], axis=1)
+    assert np.allclose(approx, ((x[:20, None] - y) ** 2).sum(2), atol=1e-4)
+    assert kmeans(x, 700).shape == (500, 64)
+
+
+def test_lists_grow_with_the_root_at_any_size():
+    for n in (10**4, 10**6, 10**8, 10**10):
+        assert n / list_count(n) == pytest.approx(np.sqrt(n) / 4, rel=0.01)
+    assert list_count(1) == 1 and list_count(40) == 10
+
+
+def test_units_are_bounded():
+    index = Index(np.zeros((7, 64), np.float32), np.array([0, 0, 0, 1, 1, 1, 2]))
+    _cut(index, np.array([30, 30, 50, 10, 250, 10, 0]), 100)
+    assert index.unit_of.tolist() == [0, 0, 1, 2, 3, 4, 5]  # no unit over 100 but for one list
+    assert index.blocks.tolist() == [1, 1, 1, 3, 1, 1]
+
+
+def test_visits_are_calibrated(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 64))  # without any structure, so that neighbours lie in many lists
+    rows = [(i, "m", v.astype(np.float32).tolist(), "x", 1) for i, v in enumerate(x)]
+    df = frame(spark, rows)
+    wide, narrow = [{(r["vec_id"], r["neighbour"]) for r in nearest_neighbours(df, 5, recall=r, train_rows=1000, calibration=100, rerank=200).collect()} for r in (0.97, 0.4)]
+    want = {(q, b) for q, near in brute([r[:3] for r in rows], 5).items() for b, _ in near}
+    share = [len(got & want) / len(want) for got in (wide, narrow)]
+    assert share[0] > 0.93 and 0.3 < share[1] < 0.6
+
+
+def test_floor_leaves_out_only_what_is_below(spark):
+    df = frame(spark, [(*r, "x", 1) for r in make(3, 500)])
+    whole = {(r["vec_id"], r["neighbour"]) for r in nearest_neighbours(df, 5).where("cosine >= 0.9").collect()}
+    assert whole == {(r["vec_id"], r["neighbour"]) for r in nearest_neighbours(df, 5, floor=0.9).collect()} and whole
+
+
+def test_repeated_ids(spark):
+    v = np.eye(64, dtype=np.float32)
+    rows = [(1, "m", v[0].tolist(), "x", 1), (1, "n", v[1].tolist(), "x", 1), (2, "m", v[0].tolist(), "x", 1), (3, "m", v[1].tolist(), "x", 1), (3, "m", v[1].tolist(), "x", 1)]
+    got = {(r["vec_id"], r["neighbour"], r["rank"]) for r in nearest_neighbours(frame(spark, rows), 2).collect()}
+    assert got == {(1, 2, 1), (1, 3, 2), (2, 1, 1), (2, 3, 2), (3, 1, 1), (3, 2, 2)}
