@@ -2,9 +2,9 @@
 
     python -m codeloom.cli index PATH --index DIR [--full]
     python -m codeloom.cli embed DIR
-    python -m codeloom.cli search DIR QUERY [--mode lexical|dense|hybrid|graph|reranked] [--limit N]
+    python -m codeloom.cli search DIR QUERY [--mode lexical|dense|hybrid|graph|reranked] [--limit N] [--kind KIND] [--path-prefix PREFIX] [--explain]
     python -m codeloom.cli graph DIR [SYMBOL]
-    python -m codeloom.cli context DIR QUERY --budget N
+    python -m codeloom.cli context DIR QUERY --budget N [--kind KIND] [--path-prefix PREFIX]
     python -m codeloom.cli benchmark DIR FILE
 """
 
@@ -28,20 +28,23 @@ from codeloom.sources.store import IndexStore
 PROVIDER = HashedWords()
 
 
-def corpus_of(spark: SparkSession, index: str) -> Corpus:
+def corpus_of(spark: SparkSession, index: str, **filters: str | None) -> Corpus:
     """The corpus of an index; before ``embed`` the dense list is empty and the ladder still works."""
     store = IndexStore(spark, index)
     symbols = store.read("symbols")
     units = store.read("code_units").join(symbols.select("qualified_name", "name", "signature"), "qualified_name")
+    units = units.join(symbols.where("kind = 'module'").select("path", F.col("qualified_name").alias("module_name")), "path", "left")
     vectors = store.read_vectors()
-    return Corpus(units, vectors, store.read("relations"))
+    return Corpus(units, vectors, store.read("relations"), **filters)
 
 
-def search(corpus: Corpus, texts: list[tuple[int, str]], mode: str, limit: int) -> DataFrame:
+def search(corpus: Corpus, texts: list[tuple[int, str]], mode: str, limit: int, explain: bool = False) -> DataFrame:
+    """(query_id, item, rank, score) and, to explain modes that fuse lists, what each list contributed."""
     spark = corpus.units.sparkSession
     rows = [(i, t, PROVIDER.model_id, PROVIDER.embed_query(t).tolist()) for i, t in texts]
     queries = spark.createDataFrame(rows, "query_id long, text string, model_id string, vector array<float>")
-    return getattr(corpus, mode)(queries, limit).select("query_id", "item", "rank", "score")
+    hits = getattr(corpus, mode)(queries, limit)
+    return hits.select("query_id", "item", "rank", "score", *(["contributions"] if explain and "contributions" in hits.columns else []))
 
 
 def embed(spark: SparkSession, index: str) -> int:
@@ -96,6 +99,10 @@ def main(argv: list[str] | None = None) -> None:
         if name == "search":
             c.add_argument("--mode", default="lexical", choices=["lexical", "dense", "hybrid", "graph", "reranked"])
             c.add_argument("--limit", type=int, default=10)
+            c.add_argument("--explain", action="store_true")
+        if name != "graph":
+            c.add_argument("--kind")
+            c.add_argument("--path-prefix")
         if name == "context":
             c.add_argument("--budget", type=int, required=True)
     args = parser.parse_args(argv)
@@ -117,11 +124,12 @@ def main(argv: list[str] | None = None) -> None:
         else:
             _show(edges.where((F.col("source") == args.query) | (F.col("target") == args.query)).select("kind", "source", F.coalesce("target", "target_text").alias("target"), "resolution"))
         return
-    corpus = corpus_of(spark, args.index)
+    corpus = corpus_of(spark, args.index, kind=args.kind, path_prefix=args.path_prefix)
     units = corpus.units.withColumnRenamed("qualified_name", "item")
     if args.command == "search":
-        hits = search(corpus, [(0, args.query)], args.mode, args.limit)
-        _show(hits.join(units, "item").select("rank", "score", "item", "kind", "path", "start_line", preview(F.col("source_text")).alias("preview")).orderBy("rank"))
+        hits = search(corpus, [(0, args.query)], args.mode, args.limit, args.explain)
+        shown = [F.to_json("contributions").alias("contributions")] if "contributions" in hits.columns else []
+        _show(hits.join(units, "item").select("rank", "score", *shown, "item", "kind", "path", "start_line", preview(F.col("source_text")).alias("preview")).orderBy("rank"))
     else:
         ranked = search(corpus, [(0, args.query)], "reranked", context.CANDIDATES).join(units, "item")
         text = context.block_text(*[F.col(c) for c in ("item", "kind", "path", "start_line", "end_line", "source_text")])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,43 +10,56 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.text import dense_document
 
-QUERIES_PER_BLOCK = 4096
+#: Rows of a block of queries or vectors; scores held at once.
+BLOCK = 65_536
+_CELLS = 8_000_000
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
+def _unit(column: pd.Series) -> np.ndarray:
+    x = np.array(column.tolist(), dtype=np.float64)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def dense_search(queries: DataFrame, vectors: DataFrame, limit: int, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+def _blocked(rows: DataFrame, key: str, own: str, other: str, sizes: DataFrame) -> DataFrame:
+    """Rows in the block ``own`` of their group, once for each block ``other``."""
+    at = F.pmod(F.xxhash64(key), F.col(f"n_{own}")).cast("int").alias(own)
+    return rows.join(sizes, "group").select(*rows.columns, at, F.explode(F.sequence(F.lit(0), F.col(f"n_{other}") - 1)).alias(other))
+
+
+def dense_search(queries: DataFrame, vectors: DataFrame, limit: int, block: int = BLOCK) -> DataFrame:
     """(query_id, item, cosine, rank): the ``limit`` vectors of the query's group most similar to it.
 
     ``queries``: query_id, group, vector; ``vectors``: item, group, vector, all of
-    one dimension and not zero.  Queries are held against all rows block by block,
-    ``queries_per_block`` at a time; each Arrow batch keeps its own best, so only
-    those are shuffled.  Ties (at six decimals) go to the smaller item.
+    one dimension and not zero.  The queries are a stated set and held against all
+    rows: both are cut into blocks of ``block`` rows per group, each pair of blocks
+    is one task's and keeps its own best, so only those are shuffled on.  Ties (at
+    six decimals) go to the smaller item.
     """
     schema = f"query_id {dict(queries.dtypes)['query_id']}, item {dict(vectors.dtypes)['item']}, cosine double"
-    numbered = queries.select("query_id", "group", "vector")
-    blocks = max(1, -(-numbered.count() // queries_per_block))
-    best = None
-    for b in range(blocks):
-        own = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).toPandas()
-        groups = {g: (part["query_id"].to_numpy(), _unit(np.array(part["vector"].tolist(), dtype=np.float64))) for g, part in own.groupby("group")}
-
-        def search(batches: Iterator[pd.DataFrame], groups: dict = groups) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                for group, part in pdf.groupby("group"):
-                    if group not in groups:
-                        continue
-                    ids, q = groups[group]
-                    part = part.sort_values("item")
-                    items = part["item"].to_numpy()
-                    cosine = np.round(q @ _unit(np.array(part["vector"].tolist(), dtype=np.float64)).T, 6)
-                    top = np.argsort(-cosine, axis=1, kind="stable")[:, :limit]
-                    yield pd.DataFrame({"query_id": np.repeat(ids, top.shape[1]), "item": items[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel()})
-
-        part = vectors.select("item", "group", "vector").mapInPandas(search, schema)
-        best = part if best is None else best.unionAll(part)
+    queries = queries.select("query_id", "group", "vector").toDF("query_id", "group", "vector")
+    vectors = vectors.select("item", "group", "vector").toDF("item", "group", "vector")
+
+    def blocks(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+
+    sizes = blocks(queries, "n_qb").join(blocks(vectors, "n_vb"), "group")
+
+    def search(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or held.empty:
+            return pd.DataFrame({"query_id": asked["query_id"][:0], "item": held["item"][:0], "cosine": pd.Series(dtype=float)})
+        held = held.sort_values("item")
+        items, x, q = held["item"].to_numpy(), _unit(held["vector"]).T, _unit(asked["vector"])
+        ids, out, step = asked["query_id"].to_numpy(), [], max(1, _CELLS // len(held))
+        for a in range(0, len(ids), step):
+            cosine = np.round(q[a : a + step] @ x, 6)
+            top = np.argsort(-cosine, axis=1, kind="stable")[:, :limit]
+            out.append(pd.DataFrame({"query_id": np.repeat(ids[a : a + step], top.shape[1]), "item": items[top].ravel(), "cosine": np.take_along_axis(cosine, top, 1).ravel()}))
+        return pd.concat(out, ignore_index=True)
+
+    cell = ["group", "qb", "vb"]
+    asked, held = _blocked(queries, "query_id", "qb", "vb", sizes), _blocked(vectors, "item", "vb", "qb", sizes)
+    asked, held = asked.toDF(*asked.columns), held.toDF(*held.columns)  # both may stem from one table
+    best = asked.groupBy(*cell).cogroup(held.groupBy(*cell)).applyInPandas(search, schema)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "item"))
     return best.withColumn("rank", rank).where(F.col("rank") <= limit)
 

@@ -9,6 +9,7 @@ query that shares nothing with it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from string import ascii_uppercase
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -88,8 +89,9 @@ def token_statistics(docs: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def with_path_prefix(docs: DataFrame, prefix: str, ignore_case: bool) -> DataFrame:
-    """Documents whose path starts with ``prefix`` (wildcards are literal); null paths never do."""
+    """Documents whose path starts with ``prefix`` (wildcards are literal); null paths never do.  Case is that of ASCII."""
     prefix = prefix.replace("\\", "/")
     if ignore_case:
-        return docs.where(F.lower("path").startswith(prefix.lower()))
+        lower = prefix.translate({ord(c): c.lower() for c in ascii_uppercase})
+        return docs.where(F.translate("path", ascii_uppercase, ascii_uppercase.lower()).startswith(lower))
     return docs.where(F.col("path").startswith(prefix))

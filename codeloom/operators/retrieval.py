@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from codeloom.operators.dense import dense_search
 from codeloom.operators.fusion import RRF_K, fuse
-from codeloom.operators.lexical import lexical_search
+from codeloom.operators.lexical import lexical_search, with_path_prefix
 from codeloom.sources.workspace import Workspace
 
 SEEDS = 10
 CHANNELS = ("calls", "references", "inherits", "contains")
-COLUMNS = ("qualified_name", "name", "signature", "source_text", "path", "kind")
+COLUMNS = ("qualified_name", "name", "signature", "source_text", "module_name", "path", "kind")
 
 
 def hybrid_depth(limit: int) -> int:
@@ -35,42 +35,62 @@ def rerank_depth(limit: int) -> int:
 
 @dataclass
 class Corpus:
-    """units: qualified_name, name, kind, path, signature, source_text; vectors: qualified_name, model_id, vector;
-    edges: kind, source, target, resolution."""
+    """units: qualified_name, name, kind, path, module_name, signature, source_text; vectors: qualified_name, model_id,
+    vector; edges: kind, source, target, resolution.
+
+    ``kind`` and ``path_prefix`` restrict what every list of the ladder may hold, before it is cut at its depth;
+    statistics cover all units.  As in the surveyed engine, the lexical list ignores ASCII case in the prefix.
+    """
 
     units: DataFrame
     vectors: DataFrame
     edges: DataFrame
+    kind: str | None = None
+    path_prefix: str | None = None
 
     def __post_init__(self) -> None:
         self.work = Workspace(self.units.sparkSession, "retrieval")
         self._lists: dict[tuple[str, int], DataFrame] = {}
 
+    def _allowed(self, ignore_case: bool = False) -> DataFrame:
+        """Units that the filters let through."""
+        units = self.units if self.kind is None else self.units.where(F.col("kind") == self.kind)
+        return units if self.path_prefix is None else with_path_prefix(units, self.path_prefix, ignore_case)
+
     def _kept(self, name: str, depth: int, make) -> DataFrame:
         if (name, depth) not in self._lists:
             self._lists[name, depth] = self.work.write(make(), f"{name}{depth}")
         return self._lists[name, depth]
 
+    def _cut(self, name: str, depth: int, make) -> DataFrame:
+        """A list whose ranks do not depend on its depth: a deeper one that was kept is cut."""
+        kept = [d for n, d in self._lists if n == name and d >= depth]
+        if kept:
+            return self._lists[name, min(kept)].where(F.col("rank") <= depth)
+        return self._kept(name, depth, make)
+
     def lexical(self, queries: DataFrame, depth: int) -> DataFrame:
         def run() -> DataFrame:
-            hits = lexical_search(queries, self.units, "qualified_name", COLUMNS, depth)
+            filtered = self.kind is not None or self.path_prefix is not None
+            keep = self._allowed(ignore_case=True).select("qualified_name") if filtered else None
+            hits = lexical_search(queries, self.units, "qualified_name", COLUMNS, depth, keep=keep)
             return hits.select("query_id", F.col("qualified_name").alias("item"), "rank", "score")
 
-        return self._kept("lexical", depth, run)
+        return self._cut("lexical", depth, run)
 
     def dense(self, queries: DataFrame, depth: int) -> DataFrame:
-        """Vectors of names that are no returnable unit any more are left out before ranking."""
+        """Vectors of names that are no returnable unit any more are left out before ranking; blank queries find nothing."""
 
         def run() -> DataFrame:
-            fresh = self.vectors.join(self.units.select("qualified_name"), "qualified_name", "left_semi")
+            fresh = self.vectors.join(self._allowed().select("qualified_name"), "qualified_name", "left_semi")
             hits = dense_search(
-                queries.select("query_id", F.col("model_id").alias("group"), "vector"),
+                queries.where(F.length(F.trim("text")) > 0).select("query_id", F.col("model_id").alias("group"), "vector"),
                 fresh.select(F.col("qualified_name").alias("item"), F.col("model_id").alias("group"), "vector"),
                 depth,
             )
             return hits.select("query_id", "item", "rank", F.col("cosine").alias("score"))
 
-        return self._kept("dense", depth, run)
+        return self._cut("dense", depth, run)
 
     def hybrid(self, queries: DataFrame, limit: int) -> DataFrame:
         depth = hybrid_depth(limit)
@@ -87,7 +107,7 @@ class Corpus:
         out = seeds.join(links, F.col("seed") == F.col("source")).select("query_id", "seed", "seed_rank", F.col("target").alias("item"), "kind", F.lit("seed_to_candidate").alias("direction"))
         back = seeds.join(links, F.col("seed") == F.col("target")).select("query_id", "seed", "seed_rank", F.col("source").alias("item"), "kind", F.lit("candidate_to_seed").alias("direction"))
         found = out.unionAll(back).where("item is not null and item <> seed").distinct()
-        return found.join(self.units.select(F.col("qualified_name").alias("item")), "item", "left_semi")
+        return found.join(self._allowed().select(F.col("qualified_name").alias("item")), "item", "left_semi")
 
     def support(self, queries: DataFrame, pool: int) -> DataFrame:
         """(query_id, item, support, rank): units next to seeds, by the sum of 1 / (60 + rank) over distinct seeds."""

@@ -16,7 +16,7 @@ from codeloom.operators.extract_python import python_symbols as extract_python
 from codeloom.operators.fusion import fuse
 from codeloom.operators.latest import latest_by
 from codeloom.operators.retrieval import COLUMNS, Corpus
-from codeloom.plans.views import edges_now, search_queries, symbols_now, unit_vectors, units_now
+from codeloom.plans.views import edges_now, search_queries, search_units, symbols_now, unit_vectors, units_now
 from codeloom.sources.repository import CPP_FILES
 from codeloom.sources.tables import table
 
@@ -25,8 +25,8 @@ LIMIT = 10
 BUDGET = 2048
 
 
-def _corpus(spark: SparkSession, d: str) -> tuple[Corpus, DataFrame]:
-    corpus = Corpus(units_now(spark, d), unit_vectors(spark, d), edges_now(spark, d))
+def _corpus(spark: SparkSession, d: str, **filters: str) -> tuple[Corpus, DataFrame]:
+    corpus = Corpus(search_units(spark, d), unit_vectors(spark, d), edges_now(spark, d), **filters)
     corpus.units = corpus.work.write(corpus.units, "units")
     return corpus, corpus.work.write(search_queries(spark, d), "queries")
 
@@ -36,7 +36,7 @@ def _nodes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_search(spark: SparkSession, d: str) -> DataFrame:
-    hits = lexical.lexical_search(search_queries(spark, d), units_now(spark, d), "qualified_name", COLUMNS, LIMIT)
+    hits = lexical.lexical_search(search_queries(spark, d), search_units(spark, d), "qualified_name", COLUMNS, LIMIT)
     return hits.select("query_id", "qualified_name", "score", "rank")
 
 
@@ -48,7 +48,7 @@ def lexical_documents(spark: SparkSession, d: str) -> DataFrame:
 
 def lexical_filtered(spark: SparkSession, d: str) -> DataFrame:
     """Statistics over all units, results only methods under src (ASCII case ignored)."""
-    units = units_now(spark, d)
+    units = search_units(spark, d)
     keep = lexical.with_path_prefix(units.where("kind = 'method'"), "SRC/", ignore_case=True)
     return lexical.lexical_search(search_queries(spark, d), units, "qualified_name", COLUMNS, LIMIT, keep=keep).select("query_id", "qualified_name", "score", "rank")
 
@@ -116,6 +116,17 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return corpus.hybrid(queries, LIMIT).select("query_id", "item", "score", "rank")
 
 
+def hybrid_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Functions under src only: both lists are filtered before they are cut."""
+    corpus, queries = _corpus(spark, d, kind="function", path_prefix="src/")
+    return corpus.hybrid(queries, LIMIT).select("query_id", "item", "score", "rank")
+
+
+def graph_filtered(spark: SparkSession, d: str) -> DataFrame:
+    corpus, queries = _corpus(spark, d, kind="method", path_prefix="src/")
+    return corpus.graph(queries, LIMIT).select("query_id", "item", "score", "rank")
+
+
 def graph_search(spark: SparkSession, d: str) -> DataFrame:
     corpus, queries = _corpus(spark, d)
     return corpus.graph(queries, LIMIT).select("query_id", "item", "score", "rank")
@@ -299,13 +310,8 @@ def language_mix(spark: SparkSession, d: str) -> DataFrame:
 
 def _ranks(spark: SparkSession, d: str) -> DataFrame:
     corpus, queries = _corpus(spark, d)
-    lists = {
-        "lexical": corpus.lexical(queries, LIMIT),
-        "dense": corpus.dense(queries, LIMIT),
-        "hybrid": corpus.hybrid(queries, LIMIT),
-        "graph": corpus.graph(queries, LIMIT),
-        "reranked": corpus.reranked(queries, LIMIT),
-    }
+    # The deepest first: the lexical and the dense list are then made once and cut by rank.
+    lists = {mode: getattr(corpus, mode)(queries, LIMIT) for mode in reversed(MODES)}
     ranked = None
     for mode, df in lists.items():
         part = df.select("query_id", F.lit(mode).alias("mode"), "item", "rank")
@@ -360,7 +366,7 @@ def cpp_relations(spark: SparkSession, d: str) -> DataFrame:
 
 _ALL = (
     lexical_search, lexical_documents, lexical_filtered, all_token_statistics, token_statistics, path_prefix_counts, dense_search, dense_filtered, vector_norms, unit_fingerprints, corpus_fingerprint, vector_reuse,
-    rrf_fusion, hybrid_search, graph_search, graph_support, relation_evidence, channel_rankings, reranked_search, rerank_contributions, context_pack, span_overlap_pairs, unit_token_counts,
+    rrf_fusion, hybrid_search, hybrid_filtered, graph_search, graph_filtered, graph_support, relation_evidence, channel_rankings, reranked_search, rerank_contributions, context_pack, span_overlap_pairs, unit_token_counts,
     unit_previews, graph_summary, graph_degrees, graph_neighbours, graph_reach, graph_distance_to_module, graph_canonical_edges, graph_dangling, contains_edges, duplicate_symbols, resolve_facts,
     unique_stems, scope_walk, returnable_units, per_file_view, table_counts, change_set, work_counts, incremental_merge, surface_changes, language_mix, first_relevant_ranks, ranking_metrics,
     ranking_pairs, gold_missing, python_symbols, python_relations, cpp_symbols, cpp_relations,

@@ -34,6 +34,11 @@ _UNITS = rf"""{_SYMBOLS}, units_now AS (
       start_line DESC NULLS LAST, end_line DESC NULLS LAST, start_byte DESC NULLS LAST, end_byte DESC NULLS LAST) = 1
   ) u JOIN symbols_now s USING (qualified_name)
 )"""
+_FILE = "regexp_replace(regexp_replace(replace({}, '\\', '/'), '/+', '/', 'g'), '^(\\./|/)+', '')"
+_SEARCH = rf"""{_UNITS}, modules AS (
+  SELECT {_FILE.format(_trim('path'))} AS file, {_trim('module_name')} AS module_name FROM files
+  QUALIFY row_number() OVER (PARTITION BY file ORDER BY loaded_at DESC NULLS LAST, module_name DESC NULLS LAST) = 1
+), search_units AS (SELECT u.*, module_name FROM units_now u LEFT JOIN modules ON file = {_FILE.format('u.path')})"""
 _EDGES = rf"""
 edges_now AS (
   SELECT relation_id, kind, source, target, target_text, resolution, path, start_byte, end_byte FROM (
@@ -87,17 +92,19 @@ phrases AS (
 )"""
 
 
-_COLUMNS = ["qualified_name", "name", "signature", "source_text", "path", "kind"]
+_COLUMNS = ["qualified_name", "name", "signature", "source_text", "module_name", "path", "kind"]
 
 
-def _hybrid(limit: int, pool: int | None = None) -> str:
-    """CTEs that end in ``hybrid`` (query_id, item, score, rank) with ``limit`` rows a query."""
+def _hybrid(limit: int, kind: str | None = None) -> str:
+    """CTEs that end in ``hybrid`` (query_id, item, score, rank) with ``limit`` rows a query; ``kind``: only those under src/."""
     depth = max(50, 5 * limit)
-    return rf"""{_UNITS}, {_VECTORS}, {_lexical(_COLUMNS, 'units_now', 'qualified_name', depth)}, dense AS (
+    only = f"WHERE kind = '{kind}' AND starts_with(path, 'src/')" if kind else ""
+    loose = f"WHERE item IN (SELECT qualified_name FROM units_now WHERE kind = '{kind}' AND starts_with(lower(path), 'src/'))" if kind else ""
+    return rf"""{_SEARCH}, allowed AS (SELECT qualified_name FROM units_now {only}), {_VECTORS}, {_lexical(_COLUMNS, 'search_units', 'qualified_name', depth, loose)}, dense AS (
   SELECT query_id, item, rank FROM (
     SELECT q.query_id, v.qualified_name AS item,
       row_number() OVER (PARTITION BY q.query_id ORDER BY round(list_cosine_similarity(q.vector, v.vector), 6) DESC, v.qualified_name) AS rank
-    FROM search_queries q JOIN unit_vectors v ON v.model_id = q.model_id WHERE v.qualified_name IN (SELECT qualified_name FROM units_now)
+    FROM search_queries q JOIN unit_vectors v ON v.model_id = q.model_id WHERE v.qualified_name IN (SELECT qualified_name FROM allowed) AND trim(q.text) <> ''
   ) WHERE rank <= {depth}
 ), hybrid AS (
   SELECT * FROM (
@@ -107,17 +114,17 @@ def _hybrid(limit: int, pool: int | None = None) -> str:
 )"""
 
 
-def _graph(limit: int) -> str:
+def _graph(limit: int, kind: str | None = None) -> str:
     """CTEs that end in ``graph`` (query_id, item, score, rank)."""
     pool = max(10, limit)
-    return rf"""{_hybrid(pool)}, {_EDGES}, seeds AS (SELECT query_id, item AS seed, rank AS seed_rank FROM hybrid WHERE rank <= 10
+    return rf"""{_hybrid(pool, kind)}, {_EDGES}, seeds AS (SELECT query_id, item AS seed, rank AS seed_rank FROM hybrid WHERE rank <= 10
 ), links AS (
   SELECT DISTINCT kind, source, target FROM edges_now WHERE resolution = 'resolved' AND kind IN ('calls', 'references', 'inherits', 'contains')
 ), evidence AS (
   SELECT DISTINCT * FROM (
     SELECT query_id, seed, seed_rank, target AS item, kind, 'seed_to_candidate' AS direction FROM seeds JOIN links ON source = seed
     UNION ALL SELECT query_id, seed, seed_rank, source, kind, 'candidate_to_seed' FROM seeds JOIN links ON target = seed
-  ) WHERE item <> seed AND item IN (SELECT qualified_name FROM units_now)
+  ) WHERE item <> seed AND item IN (SELECT qualified_name FROM allowed)
 ), support AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY support DESC, item) AS rank FROM (
     SELECT query_id, item, round(sum(1e0 / (60 + seed_rank)), 9) AS support FROM (SELECT DISTINCT query_id, item, seed_rank FROM evidence) GROUP BY ALL)
@@ -156,7 +163,7 @@ def _modes() -> str:
     def part(mode: str, ctes: str, table: str) -> str:
         return f"SELECT query_id, '{mode}' AS mode, item, rank FROM (WITH {ctes} SELECT query_id, item, rank FROM {table})"
 
-    lexical = f"{_UNITS}, {_VECTORS}, {_lexical(_COLUMNS, 'units_now', 'qualified_name', 10)}"
+    lexical = f"{_SEARCH}, {_VECTORS}, {_lexical(_COLUMNS, 'search_units', 'qualified_name', 10)}"
     return " UNION ALL ".join(
         [
             part("lexical", lexical, "lexical"),
@@ -231,9 +238,9 @@ _FINGERPRINT = "sha256('symbol: ' || qualified_name || chr(10) || 'signature: '
 _DOCUMENT_TOKENS = f"SELECT doc_id, unnest({_tokens('text')}) AS token FROM documents"
 
 SQL = {
-    "lexical_search": f"WITH {_UNITS}, {_VECTORS}, {_lexical(_COLUMNS, 'units_now', 'qualified_name', 10)} SELECT query_id, item AS qualified_name, score, rank::INTEGER AS rank FROM lexical",
+    "lexical_search": f"WITH {_SEARCH}, {_VECTORS}, {_lexical(_COLUMNS, 'search_units', 'qualified_name', 10)} SELECT query_id, item AS qualified_name, score, rank::INTEGER AS rank FROM lexical",
     "lexical_documents": f"WITH {_VECTORS}, {_lexical(['text'], 'documents', 'doc_id', 10)} SELECT query_id, item AS doc_id, score, rank::INTEGER AS rank FROM lexical",
-    "lexical_filtered": f"WITH {_UNITS}, {_VECTORS}, {_lexical(_COLUMNS, 'units_now', 'qualified_name', 10, where='''WHERE item IN (SELECT qualified_name FROM units_now WHERE kind = 'method' AND starts_with(lower(path), 'src/'))''')} SELECT query_id, item AS qualified_name, score, rank::INTEGER AS rank FROM lexical",
+    "lexical_filtered": f"WITH {_SEARCH}, {_VECTORS}, {_lexical(_COLUMNS, 'search_units', 'qualified_name', 10, where='''WHERE item IN (SELECT qualified_name FROM units_now WHERE kind = 'method' AND starts_with(lower(path), 'src/'))''')} SELECT query_id, item AS qualified_name, score, rank::INTEGER AS rank FROM lexical",
     "all_token_statistics": f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ({_DOCUMENT_TOKENS}) GROUP BY token",
     "token_statistics": f"SELECT token, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ({_DOCUMENT_TOKENS}) GROUP BY token ORDER BY cf DESC, token LIMIT 50",
     "path_prefix_counts": f"WITH {_UNITS} SELECT kind, 'strict' AS rule, count(*) AS n_units FROM units_now WHERE starts_with(path, 'src/') GROUP BY ALL UNION ALL SELECT kind, 'loose', count(*) FROM units_now WHERE starts_with(lower(path), 'src/') GROUP BY ALL",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.functions.cleaning import status, trimmed
+from codeloom.functions.cleaning import relative_path, status, trimmed
 from codeloom.functions.text import base_name
 from codeloom.operators.latest import latest_by
 from codeloom.sources.tables import table
@@ -38,6 +38,14 @@ def units_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     return units.join(symbols, "qualified_name").withColumnRenamed("unit_path", "path")
 
 
+def search_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """:func:`units_now` with the module_name that the latest listing gives their file."""
+    rows = table(spark, sf_dir, "files").select(relative_path(F.col("path")).alias("file"), trimmed(F.col("module_name")).alias("module_name"), "loaded_at")
+    modules = latest_by(rows.where("file is not null"), ["file"], "loaded_at", ["module_name"])
+    units = units_now(spark, sf_dir)
+    return units.withColumn("file", relative_path(F.col("path"))).join(modules, "file", "left").drop("file")
+
+
 def edges_now(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(relation_id, kind, source, target, target_text, resolution, path, start_byte, end_byte), each id once."""
     rows = table(spark, sf_dir, "relations").select(

@@ -120,7 +120,7 @@ def test_dense_search_blocks_agree(spark):
     v = spark.createDataFrame(rows, "item long, group string, vector array<double>")
     q = v.where("item < 6").withColumnRenamed("item", "query_id")
     one = {tuple(r) for r in dense.dense_search(q, v, 3).collect()}
-    many = {tuple(r) for r in dense.dense_search(q, v, 3, queries_per_block=2).collect()}
+    many = {tuple(r) for r in dense.dense_search(q, v, 3, block=7).collect()}
     assert one == many and len(one) == 18
 
 
