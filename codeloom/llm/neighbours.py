@@ -375,7 +375,9 @@ def nearest_neighbours(
     members = salted_join(keyed, copied, by_class, copies_hot, "vec_id").select("vec_id", "rep", "size")
     members = work.write(members.unionAll(single), "members")
 
-    reps = rows.join(members.where("vec_id <> rep").select("vec_id"), "vec_id", "left_anti")
+    # Read by every step of the training, so joined once; without copies the vectors are the classes.
+    others = work.write(members.where("vec_id <> rep").select("vec_id"), "others")
+    reps = rows if others.isEmpty() else work.write(rows.join(others, "vec_id", "left_anti"), "reps")
     sizes = work.write(reps.groupBy("model_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
     indexes = _trained(reps, sizes, k, train_rows, calibration, recall)
 
