@@ -1,11 +1,12 @@
 """Command line: index a repository, search it, look at its graph, compile a context.
 
-    python -m codeloom.cli index PATH --index DIR [--full]
+    python -m codeloom.cli index PATH --index DIR [--full] [--language python|cpp]
+    python -m codeloom.cli inspect FILE
     python -m codeloom.cli embed DIR
     python -m codeloom.cli search DIR QUERY [--mode lexical|dense|hybrid|graph|reranked] [--limit N] [--kind KIND] [--path-prefix PREFIX] [--explain]
     python -m codeloom.cli graph DIR [SYMBOL]
     python -m codeloom.cli context DIR QUERY --budget N [--kind KIND] [--path-prefix PREFIX]
-    python -m codeloom.cli benchmark DIR FILE
+    python -m codeloom.cli benchmark DIR FILE [--json] [--complete]
 """
 
 from __future__ import annotations
@@ -19,9 +20,12 @@ from pyspark.sql import functions as F
 from codeloom.functions.text import preview
 from codeloom.operators import context, evaluation, graph
 from codeloom.operators.embedding import HashedWords, embed_units
+from codeloom.operators.extract_cpp import cpp_symbols
+from codeloom.operators.extract_python import python_symbols
 from codeloom.operators.retrieval import Corpus
 from codeloom.plans.indexing import index_repository
 from codeloom.session import local_session
+from codeloom.sources.repository import CPP_FILES, PYTHON_FILES, scan_repository
 from codeloom.sources.store import IndexStore
 
 
@@ -55,10 +59,10 @@ def embed(spark: SparkSession, index: str) -> int:
     return store.read_vectors().count()
 
 
-def benchmark(spark: SparkSession, index: str, path: str) -> str:
-    """Ranks and metrics of all modes over a benchmark file, as Markdown."""
+def benchmark(spark: SparkSession, index: str, path: str, as_json: bool = False, complete: bool = False) -> str:
+    """Ranks and metrics of all modes over a benchmark file, as Markdown or JSON."""
     corpus = corpus_of(spark, index)
-    rows = evaluation.load_benchmark(spark, path)
+    rows = evaluation.load_benchmark(spark, path, complete)
     names = {r["query_id"]: i for i, r in enumerate(rows.select("query_id").distinct().orderBy("query_id").collect())}
     ids = spark.createDataFrame(list(names.items()), "name string, query_id long")
     rows = rows.withColumnRenamed("query_id", "name").join(ids, "name")
@@ -69,11 +73,18 @@ def benchmark(spark: SparkSession, index: str, path: str) -> str:
     texts = [(r["query_id"], r["text"]) for r in rows.select("query_id", "text").distinct().collect()]
     modes = ("lexical", "dense", "hybrid", "graph", "reranked")
     ranked = None
-    for mode in modes:
+    for mode in reversed(modes):
         part = search(corpus, texts, mode, evaluation.TOP).select("query_id", F.lit(mode).alias("mode"), "item", "rank")
         ranked = part if ranked is None else ranked.unionAll(part)
     ranks = evaluation.first_relevant(rows.select("query_id", "category").distinct(), ranked, gold, modes)
-    return evaluation.markdown_report(evaluation.metrics(ranks), ranks.join(ids, "query_id").drop("query_id").withColumnRenamed("name", "query_id"))
+    twice = evaluation.repeated_items(ranked).limit(1).collect()
+    if twice:
+        raise ValueError(f"a ranking lists {twice[0]['item']} more than once")
+    named = ranks.join(ids, "query_id").drop("query_id").withColumnRenamed("name", "query_id")
+    if not as_json:
+        return evaluation.markdown_report(evaluation.metrics(ranks), named)
+    shown = ranked.join(rows.where("showcase").select("query_id").distinct(), "query_id", "left_semi")
+    return evaluation.json_report(evaluation.metrics(ranks), named, shown.join(ids, "query_id").drop("query_id").withColumnRenamed("name", "query_id"))
 
 
 def _show(df: DataFrame) -> None:
@@ -88,10 +99,14 @@ def main(argv: list[str] | None = None) -> None:
     index.add_argument("path")
     index.add_argument("--index", required=True)
     index.add_argument("--full", action="store_true")
+    index.add_argument("--language", default="python", choices=["python", "cpp"])
+    commands.add_parser("inspect").add_argument("file")
     commands.add_parser("embed").add_argument("index")
     bench = commands.add_parser("benchmark")
     bench.add_argument("index")
     bench.add_argument("file")
+    bench.add_argument("--json", action="store_true")
+    bench.add_argument("--complete", action="store_true")
     for name in ("search", "context", "graph"):
         c = commands.add_parser(name)
         c.add_argument("index")
@@ -108,13 +123,18 @@ def main(argv: list[str] | None = None) -> None:
     args = parser.parse_args(argv)
     spark = local_session()
     if args.command == "index":
-        print(json.dumps(index_repository(spark, args.path, args.index, full=args.full)))
+        print(json.dumps(index_repository(spark, args.path, args.index, full=args.full, language=args.language)))
+        return
+    if args.command == "inspect":
+        language = "cpp" if args.file.rpartition(".")[2].lower() in CPP_FILES else "python"
+        symbols = (python_symbols if language == "python" else cpp_symbols)(scan_repository(spark, args.file, (*PYTHON_FILES, *CPP_FILES)))
+        _show(symbols.select("kind", "qualified_name", "signature", "start_line", "end_line").orderBy("start_line", "qualified_name"))
         return
     if args.command == "embed":
         print(json.dumps({"vectors": embed(spark, args.index)}))
         return
     if args.command == "benchmark":
-        print(benchmark(spark, args.index, args.file))
+        print(benchmark(spark, args.index, args.file, args.json, args.complete))
         return
     store = IndexStore(spark, args.index)
     if args.command == "graph":

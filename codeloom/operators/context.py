@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,10 +12,19 @@ from codeloom.functions.text import code_tokens
 CANDIDATES = 20
 
 
+#: The lines of a block around a unit's name, kind, place and source.
+BLOCK = ("=== CODE UNIT ===\nsymbol: ", "\nkind: ", "\nlocation: ", "\ncode:\n", "\n=== END CODE UNIT ===\n")
+
+
 def block_text(name: Column, kind: Column, path: Column, start: Column, end: Column, source: Column) -> Column:
-    """How a unit is shown: a line that names it, its place, its source."""
-    place = F.concat_ws(":", F.coalesce(path, F.lit("")), F.coalesce(start.cast("string"), F.lit("")), F.coalesce(end.cast("string"), F.lit("")))
-    return F.concat(F.lit("## "), name, F.lit(" ("), F.coalesce(kind, F.lit("")), F.lit(") "), place, F.lit("\n"), F.coalesce(source, F.lit("")), F.lit("\n"))
+    """How a unit is shown: its name, kind and place (path:Lfirst-last), then its source."""
+
+    def text(c: Column) -> Column:
+        return F.coalesce(c.cast("string"), F.lit(""))
+
+    place = F.concat(text(path), F.lit(":L"), text(start), F.lit("-"), text(end))
+    a, b, c, d, e = (F.lit(x) for x in BLOCK)
+    return F.concat(a, name, b, text(kind), c, place, d, text(source), e)
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -29,18 +40,34 @@ def span_overlaps(units: DataFrame) -> DataFrame:
     return x.join(y, "path").where((F.col("a") < F.col("b")) & overlaps(F.col("x"), F.col("y"))).select("a", "b")
 
 
-def pack_context(candidates: DataFrame, budget: int) -> DataFrame:
+def joined_context(packed: DataFrame, texts: DataFrame) -> DataFrame:
+    """(query_id, text): the selected blocks of each query in rank order, a blank line between them.
+
+    ``packed``: from :func:`pack_context`; ``texts``: query_id, item, text.
+    """
+    chosen = packed.where("decision = 'selected'").join(texts.select("query_id", "item", "text"), ["query_id", "item"])
+    blocks = F.array_sort(F.collect_list(F.struct("rank", "text")))
+    return chosen.groupBy("query_id").agg(F.array_join(F.transform(blocks, lambda x: x["text"]), "\n").alias("text"))
+
+
+def pack_context(candidates: DataFrame, budget: int, counter: Callable[[Column], Column] = code_tokens) -> DataFrame:
     """(query_id, item, rank, tokens, decision, used): decisions in rank order.
 
     ``candidates``: query_id, item, rank, path, start_byte, end_byte, text; at most
     some tens per query.  A name seen before is ``duplicate``, a span that overlaps
     a selected one ``overlap``, a block above the budget ``oversized``, one that
     no longer fits ``budget``; later smaller blocks may still be ``selected``.
-    used is the total after the decision.
+    used is the total after the decision.  ``counter`` gives the whole number of
+    tokens of a text, not negative; anything else ends the query with an error.
     """
-    if budget < 0:
-        raise ValueError("the budget must not be negative")
-    row = F.struct("rank", "item", "path", "start_byte", "end_byte", code_tokens(F.col("text")).alias("tokens"))
+    if isinstance(budget, bool) or not isinstance(budget, int) or budget < 0:
+        raise ValueError("the budget must be a whole number that is not negative")
+    counted = candidates.withColumn("tokens", counter(F.col("text")))
+    if dict(counted.dtypes)["tokens"] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("a counter must give whole numbers")
+    wrong = F.raise_error(F.lit("a counter must not give null or negative numbers"))
+    candidates = counted.withColumn("tokens", F.when(F.col("tokens") >= 0, F.col("tokens").cast("int")).otherwise(wrong.cast("int")))
+    row = F.struct("rank", "item", "path", "start_byte", "end_byte", "tokens")
     rows = candidates.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     seen = "array<struct<path:string,start_byte:int,end_byte:int>>"
     out = "array<struct<item:string,rank:int,tokens:int,decision:string,used:int>>"

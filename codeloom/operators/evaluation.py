@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,11 @@ def first_relevant(queries: DataFrame, ranked: DataFrame, gold: DataFrame, modes
     return every.join(hits, ["query_id", "mode"], "left").select("query_id", "category", "mode", "rank")
 
 
+def repeated_items(ranked: DataFrame) -> DataFrame:
+    """(query_id, mode, item, n) of ranked lists that hold an item more than once, which no mode may."""
+    return ranked.groupBy("query_id", "mode", "item").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
 def metrics(ranks: DataFrame) -> DataFrame:
     """(category, mode, n_queries, hit_1, hit_5, hit_10, mrr_10) per category and over all (category ``all``)."""
 
@@ -46,25 +53,53 @@ def missing_gold(gold: DataFrame, units: DataFrame) -> DataFrame:
 CATEGORIES = ("lexical", "behavioral", "calls", "inheritance")
 
 
-def load_benchmark(spark: SparkSession, path: str) -> DataFrame:
-    """(query_id, category, text, gold) of a benchmark file, one row per gold item.
+#: What a complete benchmark holds.
+COMPLETE = {"language": "python", "n_queries": 24, "per_category": 6, "n_showcases": 2}
+
+
+def load_benchmark(spark: SparkSession, path: str, complete: bool = False) -> DataFrame:
+    """(query_id, category, text, gold, showcase) of a benchmark file, one row per gold item.
 
     The file is one JSON object with version 1 and queries of unique ids, known
     categories, text that is not blank, and at least one gold item, none twice.
+    ``complete`` also asks for the language, the number of queries of each category
+    and the number of showcases in :data:`COMPLETE`.
     """
     raw = spark.read.option("multiLine", "true").json(path)
     if raw.select("benchmark_version").collect() != [(1,)]:
         raise ValueError("only benchmark version 1 can be read")
-    queries = raw.select(F.explode("queries").alias("q")).select(F.col("q.id").alias("query_id"), F.col("q.category").alias("category"), F.col("q.query").alias("text"), F.col("q.relevant_qnames").alias("gold"))
+    queries = raw.select(F.explode("queries").alias("q")).select(F.col("q.id").alias("query_id"), F.col("q.category").alias("category"), F.col("q.query").alias("text"), F.col("q.relevant_qnames").alias("gold"), F.coalesce("q.showcase", F.lit(False)).alias("showcase"))
     blank = (F.col("query_id").isNull()) | (F.trim(F.coalesce("text", F.lit(""))) == "") | ~F.coalesce(F.col("category").isin(*CATEGORIES), F.lit(False))
     no_gold = F.coalesce(F.size("gold"), F.lit(0)) < 1
     twice = F.size(F.array_distinct("gold")) != F.size("gold")
     wrong = queries.agg(F.count_if(blank | no_gold | twice).alias("bad"), (F.count(F.lit(1)) - F.countDistinct("query_id")).alias("repeated")).first()
     if wrong["bad"] or wrong["repeated"]:
         raise ValueError(f"{wrong['bad']} queries are incomplete, {wrong['repeated']} ids are repeated")
+    if complete:
+        shown = queries.agg(F.count(F.lit(1)).alias("n"), F.count_if("showcase").alias("shown")).first()
+        per = {r["category"]: r["count"] for r in queries.groupBy("category").count().collect()}
+        language = raw.select("language").first()[0]
+        if language != COMPLETE["language"] or shown["n"] != COMPLETE["n_queries"] or shown["shown"] != COMPLETE["n_showcases"] or per != dict.fromkeys(CATEGORIES, COMPLETE["per_category"]):
+            raise ValueError(f"not a complete benchmark: {language}, {shown['n']} queries {per}, {shown['shown']} showcases")
     return queries.withColumn("gold", F.explode("gold"))
 
 
+def json_report(metrics_rows: DataFrame, ranks: DataFrame, showcases: DataFrame) -> str:
+    """Metrics to four decimals, ranks (null for none) and what the modes listed for the showcases (query_id, mode,
+    item, rank), in a fixed order, as one JSON object."""
+    rounded = [F.format_number(c, 4).alias(c) for c in ("hit_1", "hit_5", "hit_10", "mrr_10")]
+
+    def rows(df: DataFrame, *order: str) -> list[dict]:
+        return [r.asDict() for r in df.orderBy(*order).toLocalIterator()]
+
+    parts = {
+        "metrics": rows(metrics_rows.select("category", "mode", "n_queries", *rounded), "category", "mode"),
+        "ranks": rows(ranks.select("query_id", "category", "mode", "rank"), "query_id", "mode"),
+        "showcases": rows(showcases.select("query_id", "mode", "rank", "item"), "query_id", "mode", "rank"),
+    }
+    return json.dumps(parts, ensure_ascii=False, indent=1, sort_keys=True) + "\n"
+
+
 def markdown_report(metrics_rows: DataFrame, ranks: DataFrame) -> str:
     """Metrics per category and mode, and the ranks per query (a dash for none), as Markdown."""
     lines = ["| category | mode | queries | Hit@1 | Hit@5 | Hit@10 | MRR@10 |", "|---|---|---:|---:|---:|---:|---:|"]

@@ -148,6 +148,20 @@ _BEFORE_CALL = frozenset("return else do case throw new delete co_return co_yiel
 _LOCAL = re.compile(r"(?:\b(?:auto|int|long|short|char|bool|float|double|unsigned|signed|[A-Za-z_][\w:]*(?:<[^<>;(){}]*>)?)\b[\s*&]+(?:const\s+)?)([A-Za-z_]\w*)\s*(?=[=;{,)]|\()")
 
 
+_BASE = re.compile(r"(?:\s|(?:public|private|protected|virtual)\b)*")
+
+
+def _split_at_commas(text: str) -> list[tuple[int, int]]:
+    """Spans between the commas that stand outside of brackets."""
+    spans, depth, start = [], 0, 0
+    for i, c in enumerate(text):
+        depth += (c in "(<[{") - (c in ")>]}")
+        if c == "," and depth <= 0:
+            spans.append((start, i))
+            start = i + 1
+    return [*spans, (start, len(text))]
+
+
 def _without_file(name: str) -> str:
     return name.split("::", 1)[1] if name.startswith("@filelocal:") else name
 
@@ -190,10 +204,11 @@ def facts_of(path: str, text: str) -> list[tuple]:
             bases = re.split(r"(?<!:):(?!:)", head, maxsplit=1)
             if len(bases) == 2:
                 at = r[6] + len(bases[0]) + 1
-                for part in re.finditer(r"[^,<>]+(?:<[^{}]*>)?[^,<>]*", bases[1]):
-                    name = re.sub(r"\b(?:public|private|protected|virtual)\b", " ", part[0]).strip()
+                for first, last in _split_at_commas(bases[1]):
+                    m = _BASE.match(bases[1], first, last)
+                    name = bases[1][m.end() : last].rstrip()
                     if name:
-                        a = at + part.start() + part[0].rindex(name)
+                        a = at + m.end()
                         emit("inherits", r[2], name, "template" if "<" in name else "base", r[2].rpartition("::")[0], a, a + len(name))
     for a, b, r in functions:
         body = plain.index("{", a) if "{" in plain[a:b] else b

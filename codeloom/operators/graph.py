@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,18 @@ def followable(edges: DataFrame, nodes: DataFrame, statuses: tuple[str, ...] = F
     return kept.join(names, F.col("target") == F.col("name"), "left_semi").join(names, F.col("source") == F.col("name"), "left_semi")
 
 
+def related(edges: DataFrame, names: DataFrame, direction: str = "outgoing", kinds: Collection[str] | None = None, statuses: Collection[str] | None = None) -> DataFrame:
+    """Edges that leave (``outgoing``, dangling ones too) or reach (``incoming``) the nodes of ``names`` (name).
+
+    None lets every kind or status through, an empty collection none.
+    """
+    for column, wanted in (("kind", kinds), ("resolution", statuses)):
+        if wanted is not None:
+            edges = edges.where(F.col(column).isin(*wanted)) if wanted else edges.limit(0)
+    end = {"outgoing": "source", "incoming": "target"}[direction]
+    return edges.join(names.select(F.col("name").alias(end)).distinct(), end, "left_semi")
+
+
 def summary(edges: DataFrame) -> DataFrame:
     """(kind, resolution, n_edges) for all kinds and statuses, zeros too."""
     spark = edges.sparkSession
@@ -62,6 +76,15 @@ def reach(seeds: DataFrame, links: DataFrame, max_depth: int) -> DataFrame:
     return seen
 
 
+def shortest_distances(pairs: DataFrame, edges: DataFrame, nodes: DataFrame, max_depth: int) -> DataFrame:
+    """(source, target, distance): fewest outgoing hops over followable edges; 0 from a node to itself, null if
+    unreachable within ``max_depth``.  ``pairs``: source, target; pairs with an unknown node are left out."""
+    names = nodes.select("name")
+    known = pairs.select("source", "target").distinct().join(names, F.col("source") == F.col("name"), "left_semi").join(names, F.col("target") == F.col("name"), "left_semi")
+    seen = reach(known.select(F.col("source").alias("seed")).distinct(), neighbours(edges, nodes, "outgoing"), max_depth)
+    return known.join(seen.select(F.col("seed").alias("source"), F.col("name").alias("target"), "distance"), ["source", "target"], "left")
+
+
 def canonical_edges(edges: DataFrame) -> DataFrame:
     """Edges without repeats of all eight identifying columns."""
     return edges.dropDuplicates(["kind", "source", "target", "target_text", "resolution", "path", "start_byte", "end_byte"])

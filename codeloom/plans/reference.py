@@ -198,6 +198,24 @@ def graph_reach(spark: SparkSession, d: str) -> DataFrame:
     return graph.reach(seeds, graph.neighbours(edges_now(spark, d), nodes, "outgoing"), 3)
 
 
+def graph_related(spark: SparkSession, d: str) -> DataFrame:
+    """Calls and base classes of the query set's symbols, and what is resolved to them."""
+    edges = edges_now(spark, d)
+    golds = search_queries(spark, d).select(F.col("gold").alias("name"))
+    out = graph.related(edges, golds, "outgoing", kinds=("calls", "inherits")).withColumn("target", F.coalesce("target", "target_text"))
+    into = graph.related(edges, golds, "incoming", statuses=("resolved",))
+    columns = ["relation_id", "kind", "source", "target", "resolution"]
+    return out.select(F.lit("outgoing").alias("direction"), *columns).unionAll(into.select(F.lit("incoming").alias("direction"), *columns))
+
+
+def graph_shortest_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Outgoing hops, up to four, from the parent's parent of each symbol of the query set to the symbol."""
+    symbols = symbols_now(spark, d)
+    up = symbols.select(F.col("qualified_name").alias("parent"), F.col("parent").alias("source"))
+    pairs = search_queries(spark, d).select(F.col("gold").alias("qualified_name")).distinct().join(symbols, "qualified_name").join(up, "parent").select("source", F.col("qualified_name").alias("target"))
+    return graph.shortest_distances(pairs, edges_now(spark, d), _nodes(spark, d), 4)
+
+
 def graph_distance_to_module(spark: SparkSession, d: str) -> DataFrame:
     """Fewest incoming hops from each symbol of the query set to a module, up to six."""
     symbols = symbols_now(spark, d)
@@ -367,7 +385,7 @@ def cpp_relations(spark: SparkSession, d: str) -> DataFrame:
 _ALL = (
     lexical_search, lexical_documents, lexical_filtered, all_token_statistics, token_statistics, path_prefix_counts, dense_search, dense_filtered, vector_norms, unit_fingerprints, corpus_fingerprint, vector_reuse,
     rrf_fusion, hybrid_search, hybrid_filtered, graph_search, graph_filtered, graph_support, relation_evidence, channel_rankings, reranked_search, rerank_contributions, context_pack, span_overlap_pairs, unit_token_counts,
-    unit_previews, graph_summary, graph_degrees, graph_neighbours, graph_reach, graph_distance_to_module, graph_canonical_edges, graph_dangling, contains_edges, duplicate_symbols, resolve_facts,
+    unit_previews, graph_summary, graph_degrees, graph_neighbours, graph_reach, graph_related, graph_shortest_distance, graph_distance_to_module, graph_canonical_edges, graph_dangling, contains_edges, duplicate_symbols, resolve_facts,
     unique_stems, scope_walk, returnable_units, per_file_view, table_counts, change_set, work_counts, incremental_merge, surface_changes, language_mix, first_relevant_ranks, ranking_metrics,
     ranking_pairs, gold_missing, python_symbols, python_relations, cpp_symbols, cpp_relations,
 )

@@ -266,8 +266,8 @@ SQL = {
     "rerank_contributions": f"WITH {_reranked(10)} SELECT c.query_id, c.item, source, list_rank::INTEGER AS list_rank, round(1e0 / (60 + list_rank), 9) AS part FROM contributions c SEMI JOIN reranked USING (query_id, item)",
     "context_pack": rf"""
 WITH RECURSIVE {_reranked(20)}, candidates AS (
-  SELECT query_id, item, rank, path, start_byte, end_byte, len(regexp_extract_all('## ' || item || ' (' || coalesce(kind, '') || ') ' || coalesce(u.path, '') || ':' || coalesce(start_line::VARCHAR, '')
-    || ':' || coalesce(end_line::VARCHAR, '') || chr(10) || source_text || chr(10), '{_CODE_TOKEN}')) AS tokens
+  SELECT query_id, item, rank, path, start_byte, end_byte, len(regexp_extract_all('=== CODE UNIT ===' || chr(10) || 'symbol: ' || item || chr(10) || 'kind: ' || coalesce(kind, '') || chr(10) || 'location: ' || coalesce(u.path, '')
+    || ':L' || coalesce(start_line::VARCHAR, '') || '-' || coalesce(end_line::VARCHAR, '') || chr(10) || 'code:' || chr(10) || source_text || chr(10) || '=== END CODE UNIT ===' || chr(10), '{_CODE_TOKEN}')) AS tokens
   FROM reranked JOIN units_now u ON u.qualified_name = item
 ), packed AS (
   SELECT query_id, 0::BIGINT AS rank, NULL::VARCHAR AS item, 0::BIGINT AS tokens, 'none' AS decision, 0::BIGINT AS used, []::STRUCT(p VARCHAR, s INTEGER, e INTEGER)[] AS spans
@@ -289,6 +289,20 @@ SELECT query_id, item, rank::INTEGER AS rank, tokens::INTEGER AS tokens, decisio
     "graph_degrees": f"WITH {_SYMBOLS}, {_EDGES}, {_FOLLOWED} SELECT qualified_name AS name, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM symbols_now LEFT JOIN (SELECT source, count(*) AS n_out FROM edges_now GROUP BY 1) ON source = qualified_name LEFT JOIN (SELECT target, count(*) AS n_in FROM followed GROUP BY 1) ON target = qualified_name",
     "graph_neighbours": f"WITH {_SYMBOLS}, {_EDGES}, {_FOLLOWED} SELECT source AS name, target AS neighbour FROM followed UNION SELECT target, source FROM followed",
     "graph_reach": _reach("outgoing", 3) + "SELECT seed, name, distance::INTEGER AS distance FROM nearest",
+    "graph_related": f"""WITH {_SYMBOLS}, {_EDGES}, {_VECTORS}, golds AS (SELECT DISTINCT gold FROM search_queries)
+SELECT 'outgoing' AS direction, relation_id, kind, source, coalesce(target, target_text) AS target, resolution FROM edges_now WHERE source IN (SELECT gold FROM golds) AND kind IN ('calls', 'inherits')
+UNION ALL SELECT 'incoming', relation_id, kind, source, target, resolution FROM edges_now WHERE target IN (SELECT gold FROM golds) AND resolution = 'resolved'""",
+    "graph_shortest_distance": rf"""
+WITH RECURSIVE {_SYMBOLS}, {_EDGES}, {_FOLLOWED}, {_VECTORS}, hops AS (SELECT DISTINCT source AS a, target AS b FROM followed
+), pairs AS (
+  SELECT DISTINCT p.parent AS source, s.qualified_name AS target FROM search_queries JOIN symbols_now s ON s.qualified_name = gold JOIN symbols_now p ON p.qualified_name = s.parent
+  WHERE p.parent IN (SELECT qualified_name FROM symbols_now)
+), reach AS (
+  SELECT DISTINCT source AS seed, source AS name, 0 AS distance FROM pairs
+  UNION SELECT seed, b, distance + 1 FROM reach JOIN hops ON a = name WHERE distance < 4
+)
+SELECT source, target, (SELECT min(distance) FROM reach WHERE seed = source AND name = target)::INTEGER AS distance FROM pairs
+""",
     "graph_distance_to_module": _reach("incoming", 6) + "SELECT seed, min(distance)::INTEGER AS distance FROM nearest WHERE name IN (SELECT qualified_name FROM symbols_now WHERE kind = 'module') GROUP BY seed",
     "graph_canonical_edges": f"WITH {_EDGES}, e AS (SELECT DISTINCT kind, source, target, target_text, resolution, path, start_byte, end_byte FROM edges_now WHERE source IS NOT NULL) SELECT source, kind, target, target_text, resolution, row_number() OVER (PARTITION BY source ORDER BY kind, target_text NULLS FIRST, coalesce(target, ''), path NULLS FIRST, coalesce(start_byte, -1), coalesce(end_byte, -1), resolution NULLS FIRST)::INTEGER AS position FROM e",
     "graph_dangling": f"WITH {_SYMBOLS}, {_EDGES} SELECT target, count(*) AS n_edges FROM edges_now WHERE resolution IN ('resolved', 'probable') AND target IS NOT NULL AND target NOT IN (SELECT qualified_name FROM symbols_now) GROUP BY target",

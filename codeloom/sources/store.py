@@ -1,12 +1,14 @@
-"""Versioned snapshots of an index: each version is a folder of Parquet tables, one pointer file names the current.
+"""Versioned snapshots of an index: each version is a folder of Parquet tables and has a pointer of its own.
 
-A version becomes current only after all its tables are written, so a failed
-write leaves the index as it was.
+The current version is the greatest with a whole pointer, which is written after
+all tables; nothing is replaced, so a write that stops anywhere leaves the index
+as it was.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMA_VERSION = 1
 TABLES = ("files", "symbols", "code_units", "relations")
@@ -21,19 +23,17 @@ class IndexStore:
 
     def current(self) -> int | None:
         """The current version, None before the first; an index of another schema is refused."""
-        pointer = f"{self.root}/_CURRENT"
-        if not self._fs.exists(self._path(pointer)):
+        whole = self._fs.globStatus(self._path(f"{self.root}/pointer.*/_SUCCESS")) or []
+        versions = [int(x.getPath().getParent().getName().rpartition(".")[2]) for x in whole]
+        if not versions:
             return None
-        schema, version = self.spark.read.text(pointer).first()[0].split()
+        schema = self.spark.read.text(f"{self.root}/pointer.{max(versions)}").first()[0]
         if int(schema) != SCHEMA_VERSION:
             raise ValueError(f"the index has schema version {schema}, this library reads {SCHEMA_VERSION}; write it anew with full=True")
-        return int(version)
+        return max(versions)
 
     def _point(self, version: int) -> None:
-        fresh = f"{self.root}/_CURRENT.{version}"
-        self.spark.createDataFrame([(f"{SCHEMA_VERSION} {version}",)], "value string").coalesce(1).write.mode("overwrite").text(fresh)
-        self._fs.delete(self._path(f"{self.root}/_CURRENT"), True)
-        self._fs.rename(self._path(fresh), self._path(f"{self.root}/_CURRENT"))
+        self.spark.range(1).select(F.lit(str(SCHEMA_VERSION)).alias("value")).coalesce(1).write.mode("overwrite").text(f"{self.root}/pointer.{version}")
 
     def write(self, tables: dict[str, DataFrame]) -> int:
         """Write all tables as the next version and make it current."""
@@ -63,8 +63,20 @@ class IndexStore:
         count = (max((int(n) for n in self._vector_folders()), default=0)) + 1
         staged = f"{self.root}/_vectors.{count}"
         vectors.write.mode("overwrite").parquet(staged)
+        self._validate(self.spark.read.parquet(staged), self.read("code_units"))
         self._fs.rename(self._path(staged), self._path(f"{self.root}/vectors.{count}"))
 
+    def _validate(self, vectors: DataFrame, units: DataFrame) -> None:
+        """Refuse vectors that are not one finite vector of one model and dimension for each unit."""
+        norm = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+        seen = vectors.agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("qualified_name").alias("names"), F.countDistinct("model_id").alias("models"), F.countDistinct(F.size("vector")).alias("dimensions"),
+            F.count_if(norm.isNull() | F.isnan(norm) | (norm <= 0) | (norm == F.lit(float("inf")))).alias("unusable"),
+        ).first()
+        stray = vectors.select("qualified_name").exceptAll(units.select("qualified_name")).isEmpty() and units.count() == seen["n"]
+        if seen["names"] != seen["n"] or seen["models"] > 1 or seen["dimensions"] > 1 or seen["unusable"] or not stray:
+            raise ValueError(f"the vectors do not fit the index: {seen.asDict()}")
+
     def _vector_folders(self) -> list[str]:
         found = self._fs.globStatus(self._path(f"{self.root}/vectors.*"))
         return [s.getPath().getName().rpartition(".")[2] for s in found or []]

@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.operators.lexical import with_path_prefix
 from codeloom.plans.indexing import index_repository
@@ -20,16 +21,52 @@ def contents(spark, index):
     return {t: sorted(map(str, store.read(t).select(*sorted(store.read(t).columns)).collect())) for t in ("files", "symbols", "code_units", "relations")}
 
 
+def work(done):
+    return tuple(done[k] for k in ("mode", "files_analyzed", "relation_files_recomputed", "symbols_rewritten", "code_units_rewritten"))
+
+
+def test_a_cpp_repository_and_the_language_guard(spark, tmp_path):
+    repo, index = tmp_path / "repo", str(tmp_path / "i")
+    lay(repo, {"a.cpp": '#include "b.hpp"\r\nint g() { return f(); }\n', "b.hpp": "struct D : public A<int>, public virtual B<char, int> { int x; };\nint f() { return 1; }\n", "c.py": "x = 1\n"})
+    assert work(index_repository(spark, str(repo), index, language="cpp")) == ("full", 2, 2, 5, 3)
+    store = IndexStore(spark, index)
+    assert {r["source_text"] for r in store.read("code_units").collect()} == {"int g() { return f(); }", "struct D : public A<int>, public virtual B<char, int> { int x; }", "int f() { return 1; }"}
+    edges = {(r["kind"], r["target_text"], r["resolution"]) for r in store.read("relations").collect()}
+    assert {("inherits", "A<int>", "unresolved"), ("inherits", "B<char, int>", "unresolved"), ("imports", '"b.hpp"', "resolved"), ("calls", "f", "resolved")} <= edges
+    with pytest.raises(ValueError, match="holds cpp files"):
+        index_repository(spark, str(repo), index)
+    assert index_repository(spark, str(repo), index, full=True)["files"] == 1
+
+
+def test_a_write_that_stops_leaves_the_index(spark, tmp_path):
+    repo, index = tmp_path / "repo", str(tmp_path / "i")
+    lay(repo, {"x.py": "def f(): pass\n"})
+    index_repository(spark, str(repo), index)
+    (tmp_path / "i" / "pointer.2").mkdir()  # stopped before its _SUCCESS
+    assert IndexStore(spark, index).current() == 1
+    lay(repo, {"x.py": "def g(): pass\n"})
+    index_repository(spark, str(repo), index)
+    assert IndexStore(spark, index).current() == 2
+    store = IndexStore(spark, index)
+    bad = spark.createDataFrame([("x.g", "m", "f", [float("nan")])], "qualified_name string, model_id string, fingerprint string, vector array<float>")
+    for vectors in (bad, bad.limit(0), bad.withColumn("qualified_name", F.lit("none"))):
+        with pytest.raises(ValueError, match="do not fit"):
+            store.write_vectors(vectors)
+    assert store.read_vectors().count() == 0
+
+
 def test_incremental_equals_full(spark, tmp_path):
     repo, a, b = tmp_path / "repo", str(tmp_path / "a"), str(tmp_path / "b")
     lay(repo, {"m/x.py": "def f():\n    return 1\n", "m/y.PY": "from m.x import f\ndef g():\n    f()\n", "build/no.py": "x", "m/z.txt": "no", ".venv/n.py": "x"})
     assert {r["path"] for r in scan_repository(spark, str(repo)).collect()} == {"m/x.py", "m/y.PY"}
     assert index_repository(spark, str(repo), a)["mode"] == "full"
-    assert index_repository(spark, str(repo), a) == {"mode": "noop", "files_analyzed": 0, "relation_files_recomputed": 0}
+    assert work(index_repository(spark, str(repo), a)) == ("noop", 0, 0, 0, 0)
     lay(repo, {"m/x.py": "def f():\n    return 2\n"})
-    assert index_repository(spark, str(repo), a) == {"mode": "incremental", "files_analyzed": 1, "relation_files_recomputed": 1}
+    assert work(index_repository(spark, str(repo), a)) == ("incremental", 1, 1, 2, 1)
     lay(repo, {"m/x.py": "def renamed():\n    return 2\n", "m/w.py": "class W: pass\n"})
-    assert index_repository(spark, str(repo), a) == {"mode": "incremental", "files_analyzed": 2, "relation_files_recomputed": 3}
+    done = index_repository(spark, str(repo), a)
+    assert work(done) == ("incremental", 2, 3, 4, 2)
+    assert [done[f"files_{c}"] for c in ("added", "changed", "deleted", "unchanged")] == [1, 1, 0, 1] and (done["files"], done["symbols"], done["code_units"]) == (3, 6, 3)
     (repo / "m/w.py").unlink()
     index_repository(spark, str(repo), a)
     index_repository(spark, str(repo), b, full=True)
@@ -74,8 +111,15 @@ def test_command_line(spark, tmp_path, capsys):
     main(["index", str(tmp_path / "repo"), "--index", index])
     main(["embed", index])
     assert '"vectors": 2' in capsys.readouterr().out
-    main(["search", index, "authorize_payment", "--mode", "reranked"])
-    assert '"item": "pay.authorize_payment"' in capsys.readouterr().out
+    main(["search", index, "authorize_payment", "--mode", "reranked", "--explain"])
+    out = capsys.readouterr().out
+    assert '"item": "pay.authorize_payment"' in out and "graph_base" in out
+    main(["search", index, "pay", "--path-prefix", "PAY", "--kind", "function"])
+    assert capsys.readouterr().out.count('"item"') == 2
+    main(["search", index, "pay", "--kind", "class"])
+    assert '"item"' not in capsys.readouterr().out
+    main(["inspect", str(tmp_path / "repo" / "pay.py")])
+    assert '"signature": "def charge(x)"' in capsys.readouterr().out
     main(["context", index, "authorize_payment", "--budget", "100"])
     assert '"decision": "selected"' in capsys.readouterr().out
     main(["graph", index])
@@ -85,6 +129,13 @@ def test_command_line(spark, tmp_path, capsys):
     main(["benchmark", index, str(tmp_path / "b.json")])
     out = capsys.readouterr().out
     assert "| lexical | reranked | 1 | 1.0000 |" in out and "| q1 | dense | 1 |" in out
+    query["showcase"] = True
+    (tmp_path / "b.json").write_text(json.dumps({"benchmark_version": 1, "benchmark_id": "b", "language": "python", "queries": [query]}))
+    main(["benchmark", index, str(tmp_path / "b.json"), "--json"])
+    report = json.loads(capsys.readouterr().out)
+    assert report["showcases"][0]["item"] == "pay.authorize_payment" and {m["hit_1"] for m in report["metrics"] if m["mode"] == "lexical"} == {"1.0000"}
+    with pytest.raises(ValueError, match="not a complete benchmark"):
+        main(["benchmark", index, str(tmp_path / "b.json"), "--complete"])
     (tmp_path / "b.json").write_text(json.dumps({"benchmark_version": 1, "queries": [query, query]}))
     with pytest.raises(ValueError, match="repeated"):
         main(["benchmark", index, str(tmp_path / "b.json")])

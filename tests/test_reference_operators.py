@@ -77,6 +77,45 @@ def test_graph(spark, small):
     assert len(counts) == 15 and counts["calls", "resolved"] == 3 and counts["imports", "probable"] == 0
 
 
+def test_relation_filters_and_distances(spark, small):
+    edges, nodes = small
+    names = spark.createDataFrame([("a",), ("a",), ("none",)], "name string")
+
+    def texts(**how):
+        return sorted(r["target_text"] for r in graph.related(edges, names, **how).collect())
+
+    assert texts() == ["b", "zzz"] and texts(statuses=("resolved",)) == ["b"] and texts(kinds=()) == [] and texts(kinds=("contains",)) == []
+    assert texts(direction="incoming") == ["a", "a"] and texts(direction="incoming", kinds={"contains"}) == ["a"]
+    pairs = spark.createDataFrame([("mod", "c"), ("mod", "c"), ("c", "mod"), ("a", "a"), ("mod", "none"), ("mod", "lone")], "source string, target string")
+    got = {(r["source"], r["target"]): r["distance"] for r in graph.shortest_distances(pairs, edges, nodes, 3).collect()}
+    assert got == {("mod", "c"): 3, ("c", "mod"): None, ("a", "a"): 0, ("mod", "lone"): None}
+    assert graph.shortest_distances(pairs, edges, nodes, 2).where("source = 'mod' and target = 'c'").first()["distance"] is None
+
+
+def test_counters_and_the_joined_context(spark):
+    rows = [(1, "a", 1, "f", 0, 10, "one two"), (1, "b", 2, "g", 0, 5, "x"), (1, "c", 3, "h", 0, 5, "far too long")]
+    df = spark.createDataFrame(rows, "query_id long, item string, rank int, path string, start_byte int, end_byte int, text string")
+    packed = context.pack_context(df, 8, counter=F.length)
+    assert [r["decision"] for r in packed.orderBy("rank").collect()] == ["selected", "selected", "oversized"]
+    assert context.joined_context(packed, df).first()["text"] == "one two\nx"
+    for counter, error in ((lambda c: c, TypeError), (lambda c: F.lit(1.5), TypeError), (lambda c: F.lit(True), TypeError)):
+        with pytest.raises(error):
+            context.pack_context(df, 8, counter=counter)
+    with pytest.raises(Exception, match="must not give null or negative"):
+        context.pack_context(df, 8, counter=lambda c: F.lit(-1)).collect()
+    text = spark.range(1).select(context.block_text(F.lit("m.f"), F.lit("function"), F.lit("m.py"), F.lit(1), F.lit(2), F.lit("def f(): pass"))).first()[0]
+    assert text == "=== CODE UNIT ===\nsymbol: m.f\nkind: function\nlocation: m.py:L1-2\ncode:\ndef f(): pass\n=== END CODE UNIT ===\n"
+
+
+def test_repeated_names_and_missing_gold_are_found(spark):
+    symbols = spark.createDataFrame([("m.f", "a"), ("m.f", "b"), ("m.g", "a"), ("m.g", "a")], "qualified_name string, path string")
+    assert [tuple(r) for r in resolve.duplicate_names(symbols).collect()] == [("m.f", 2)]
+    gold = spark.createDataFrame([(1, "m.f"), (2, "m.none")], "query_id long, item string")
+    assert [tuple(r) for r in evaluation.missing_gold(gold, symbols).collect()] == [(2, "m.none")]
+    ranked = spark.createDataFrame([(1, "x", "m.f"), (1, "x", "m.f"), (1, "y", "m.f")], "query_id long, mode string, item string")
+    assert [tuple(r) for r in evaluation.repeated_items(ranked).collect()] == [(1, "x", "m.f", 2)]
+
+
 def test_context_decisions(spark):
     rows = [
         (1, "a", 1, "f", 0, 10, "one two three"), (1, "inner", 2, "f", 2, 5, "x"), (1, "touch", 3, "f", 10, 12, "x y"), (1, "big", 4, "g", 0, 9, "w " * 50),
