@@ -33,11 +33,19 @@ def overlaps(a: Column, b: Column) -> Column:
     return F.coalesce(hit, F.lit(False))
 
 
-def span_overlaps(units: DataFrame) -> DataFrame:
-    """(a, b): pairs of units of one file whose spans overlap, smaller name first; an equi-join on the file."""
-    x = units.select(F.col("qualified_name").alias("a"), F.col("path"), F.struct("path", "start_byte", "end_byte").alias("x"))
-    y = units.select(F.col("qualified_name").alias("b"), F.col("path"), F.struct("path", "start_byte", "end_byte").alias("y"))
-    return x.join(y, "path").where((F.col("a") < F.col("b")) & overlaps(F.col("x"), F.col("y"))).select("a", "b")
+def span_overlaps(units: DataFrame, bin_bytes: int = 4096) -> DataFrame:
+    """(a, b): pairs of units of one file whose spans overlap, smaller name first.
+
+    Where two spans overlap, the later start lies in both: each span is met, in the
+    bin of its start, by those that cover this bin of the file, and by no others.
+    """
+    spans = units.where("path is not null and start_byte is not null and end_byte is not null").select("qualified_name", "path", "start_byte", "end_byte")
+    last = F.greatest(F.col("start_byte"), F.col("end_byte") - 1)
+    x = spans.select(F.col("qualified_name").alias("a"), "path", F.struct("path", "start_byte", "end_byte").alias("x"), F.explode(F.sequence(F.floor(F.col("start_byte") / bin_bytes), F.floor(last / bin_bytes))).alias("bin"))
+    y = spans.select(F.col("qualified_name").alias("b"), "path", F.struct("path", "start_byte", "end_byte").alias("y"), F.floor(F.col("start_byte") / bin_bytes).alias("bin"))
+    earlier = F.struct(F.col("x.start_byte"), F.col("a")) < F.struct(F.col("y.start_byte"), F.col("b"))
+    met = x.join(y, ["path", "bin"]).where((F.col("a") != F.col("b")) & earlier & overlaps(F.col("x"), F.col("y")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def joined_context(packed: DataFrame, texts: DataFrame) -> DataFrame:

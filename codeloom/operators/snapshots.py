@@ -8,6 +8,8 @@ snapshot with its predecessor; full values are fetched for differing keys only.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,9 +19,23 @@ from pyspark.sql import functions as F
 from codeloom.sources.workspace import Workspace
 
 ROWS_PER_BUCKET = 1_000_000
+_KNOWN, _LOW = 1 << 62, Decimal(1 << 63)
 _DIFF = "k1 long, k2 long, seq int, change string"
 
 
+def _ordinal(version: Column, kind: str) -> Column:
+    """A timestamp's microseconds, a date's days or a whole number, in order; null is least."""
+    number = {"timestamp_ntz": F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), version), "timestamp": F.unix_micros(version), "date": F.unix_date(version)}.get(kind, version)
+    return F.coalesce(number.cast("long"), F.lit(-(1 << 63)))
+
+
+def _packed(version: Column, digest: Column) -> Column:
+    """(version, whether the digest is known, 62 bits of its hash) as one number, so that the greatest row of a key is
+    found by hash aggregation."""
+    low = F.when(digest.isNull(), F.lit(0)).otherwise(F.shiftrightunsigned(F.xxhash64(digest), 2) + F.lit(_KNOWN))
+    return version.cast("decimal(19,0)") * F.lit(_LOW) + low.cast("decimal(19,0)")
+
+
 def _key_ids(keys: np.ndarray) -> np.ndarray:
     """Dense ids of 128-bit keys: equal keys, equal id."""
     order = np.lexsort((keys["k2"], keys["k1"]))
@@ -77,8 +93,9 @@ def snapshot_changes(
 
     ``snapshots`` holds the complete snapshots as (scope, snapshot); records of
     others are passed over, and a scope's first one yields nothing.  Of several
-    records of a key in one snapshot the greatest ``version`` holds (null is
-    oldest; ties go to a known, then the greater digest).  ``changed`` needs two
+    records of a key in one snapshot the greatest ``version`` (a timestamp, a date
+    or a whole number) holds (null is oldest; ties go to a known digest, then to the one of the
+    greater hash).  ``changed`` needs two
     known (not null) digests.  Records without scope, snapshot or key are left
     out; a snapshot listed as complete without any record counts as empty only
     for keys of its own scope (all of them are removed).  Extra columns are
@@ -101,19 +118,18 @@ def snapshot_changes(
         *hashes,
         "seq",
         "last_seq",
-        F.struct("version", F.col("digest").isNotNull().alias("known"), F.xxhash64("digest").alias("row_hash")).alias("row"),
+        _packed(_ordinal(F.col("version"), dict(rows.dtypes)["version"]), F.col("digest")).alias("row"),
     )
     buckets = max(1, -(-records.count() // rows_per_bucket), int(spark.conf.get("spark.sql.shuffle.partitions")))
     compact = (
         compact.groupBy("k1", "k2", "seq", "last_seq")
-        .agg(F.max("row").alias("row"))
-        .select("k1", "k2", "seq", "last_seq", "row.known", "row.row_hash", F.pmod("k1", F.lit(buckets)).alias("bucket"))
+        .agg(F.pmod(F.max("row"), F.lit(_LOW)).cast("long").alias("row_hash"))
+        .select("k1", "k2", "seq", "last_seq", (F.col("row_hash") >= F.lit(_KNOWN)).alias("known"), "row_hash", F.pmod("k1", F.lit(buckets)).alias("bucket"))
     )
     diffs = work.write(compact.groupBy("bucket").applyInPandas(lambda pdf: bucket_differences(pdf), _DIFF), "diffs")
     # Full values only for the keys that differ.
     wanted = diffs.select("k1", "k2").distinct()
-    names = rows.select(*hashes, "scope", "key").groupBy("k1", "k2").agg(F.min(F.struct("scope", "key")).alias("name"))
-    named = names.join(wanted, ["k1", "k2"], "left_semi").select("k1", "k2", "name.scope", "name.key")
+    named = rows.select(*hashes, "scope", "key").distinct().join(wanted, ["k1", "k2"], "left_semi")
     return (
         diffs.join(named, ["k1", "k2"])
         .join(seqs.select("scope", "seq", "snapshot"), ["scope", "seq"])
