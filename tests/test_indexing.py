@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -21,6 +22,18 @@ def contents(spark, index):
     return {t: sorted(map(str, store.read(t).select(*sorted(store.read(t).columns)).collect())) for t in ("files", "symbols", "code_units", "relations")}
 
 
+def test_scan(spark, tmp_path):
+    lay(tmp_path, {"a/b/c/d.py": "x = 1\n", "a/__init__.py": "", "_p.py": "é", ".h/x.py": "y", "a/dist/n.py": "n", "a/b/.git/n.py": "n", "py": "n", "a/n.pyc": "n"})
+    (tmp_path / "bad.PY").write_bytes(b"\xff\n")
+    got = {r["path"]: (r["content"], r["content_sha256"]) for r in scan_repository(spark, str(tmp_path)).collect()}
+    want = {"a/b/c/d.py": b"x = 1\n", "a/__init__.py": b"", "_p.py": "é".encode(), ".h/x.py": b"y", "bad.PY": b"\xff\n"}
+    assert {k: v[1] for k, v in got.items()} == {k: hashlib.sha256(v).hexdigest() for k, v in want.items()} and got["bad.PY"][0] == "\ufffd\n"
+    assert [r["path"] for r in scan_repository(spark, str(tmp_path / "_p.py")).collect()] == ["_p.py"]
+    assert scan_repository(spark, str(tmp_path / "py")).count() == 0 and scan_repository(spark, str(tmp_path / "a/b/c"), ("cpp",)).count() == 0
+    with pytest.raises(FileNotFoundError):
+        scan_repository(spark, str(tmp_path / "none"))
+
+
 def work(done):
     return tuple(done[k] for k in ("mode", "files_analyzed", "relation_files_recomputed", "symbols_rewritten", "code_units_rewritten"))
 
