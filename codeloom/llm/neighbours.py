@@ -26,15 +26,15 @@ from codeloom.operators.skew import found_hot, hot_keys, salted_join
 from codeloom.sources.workspace import Workspace
 
 DIMENSION = 64
-SUBSPACES = 8
+SUBSPACES = 16
 CODES = 256
 #: Vectors per model that bins and codebooks are trained on (about; chosen by hash of the id), and per list.
 TRAIN_ROWS, ROWS_PER_LIST = 20_000, 32
 LIST_FACTOR, LISTS_PER_BIN = 4.0, 64
 #: Queries per model whose exact neighbours are found to set the number of lists visited, and the share of these
 #: neighbours that must lie in lists visited.
-CALIBRATION, RECALL = 256, 0.97
-RERANK = 32
+CALIBRATION, RECALL = 256, 0.95
+RERANK = 64
 #: Members of a unit; queries come to it in chunks of twice as many.
 BLOCK = 32_768
 _CELLS = 4_000_000  # scores held at once
@@ -79,9 +79,9 @@ class Index:
         """Asymmetric squared distances of exact unit queries to coded members, from a table per query."""
         width = self.codebooks.shape[2]
         which, at = np.unique(lists, return_inverse=True)
-        dot = (queries @ self.centroids[which].T)[:, at]
+        dot, columns = np.take(queries @ self.centroids[which].T, at, axis=1), codes.T.astype(np.intp)
         for s, book in enumerate(self.codebooks):
-            dot += (queries[:, s * width : (s + 1) * width] @ book.T)[:, codes[:, s]]
+            dot += np.take(queries[:, s * width : (s + 1) * width] @ book.T, columns[s], axis=1)
         return 1 + offsets - 2 * dot
 
 

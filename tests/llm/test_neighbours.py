@@ -73,7 +73,7 @@ def test_index_parts():
     lists = index.list_order(x, 3)
     assert (lists[:, 0] == ((x[:, None] - index.centroids) ** 2).sum(2).argmin(1)).all()
     r = x - index.centroids[lists[:, 0]]
-    index.codebooks = np.stack([kmeans(r[:, s : s + 8], 256, rounds=6) for s in range(0, 64, 8)])
+    index.codebooks = np.stack([kmeans(r[:, s : s + 4], 256, rounds=6) for s in range(0, 64, 4)])
     codes = index.encode(x, lists[:, 0])
     approx = index.distances(x[:20], lists[:, 0], codes, index.offsets(lists[:, 0], codes))
     exact = ((x[:20, None] - x) ** 2).sum(2)
