@@ -10,8 +10,7 @@ BLANKS = " \t\r\n\v\f"
 
 def trimmed(c: Column) -> Column:
     """White space around a name does not count; an empty name is none."""
-    out = F.btrim(c, F.lit(BLANKS))
-    return F.when(F.length(out) > 0, out)
+    return F.nullif(F.btrim(c, F.lit(BLANKS)), F.lit(""))
 
 
 def status(c: Column) -> Column:
@@ -19,15 +18,18 @@ def status(c: Column) -> Column:
 
 
 def relative_path(c: Column) -> Column:
-    """Forward slashes, no repeats, no leading ``./`` or ``/``, no blanks around it."""
-    out = F.translate(trimmed(c), "\\", "/")
-    out = F.regexp_replace(out, "/+", "/")
-    out = F.regexp_replace(out, r"^(\./|/)+", "")
-    out = F.regexp_replace(out, r"(/\.)+(?=/|$)", "")
-    return F.when(F.length(out) > 0, out)
+    """Forward slashes, no repeats, no leading ``./`` or ``/``, no blanks around it.
+
+    Patterns are only tried on paths that hold what they look for, as most are clean.
+    """
+    path = F.replace(F.btrim(c, F.lit(BLANKS)), F.lit("\\"), F.lit("/"))
+    odd = F.contains(path, F.lit("//")) | path.startswith("/") | path.startswith("./") | F.contains(path, F.lit("/."))
+    out = F.regexp_replace(F.regexp_replace(path, "/{2,}", "/"), r"^(\./|/)+", "")
+    return F.nullif(F.when(odd, F.regexp_replace(out, r"(/\.)+(?=/|$)", "")).otherwise(path), F.lit(""))
 
 
 def hex_digest(c: Column) -> Column:
     """The hex digits of a digest in lower case, without an algorithm's name before them."""
-    out = F.regexp_extract(F.lower(trimmed(c)), r"^(?:[a-z0-9_-]+[:=])?\s*(?:0x)?([0-9a-f]+)$", 1)
-    return F.when(F.length(out) > 0, out)
+    lower = F.lower(F.btrim(c, F.lit(BLANKS)))
+    named = F.regexp_extract(lower, r"^(?:[a-z0-9_-]+[:=])?\s*(?:0x)?([0-9a-f]+)$", 1)
+    return F.nullif(F.when(lower.rlike("^[0-9a-f]+$"), lower).otherwise(named), F.lit(""))
