@@ -79,10 +79,11 @@ class Index:
         """Asymmetric squared distances of exact unit queries to coded members, from a table per query."""
         width = self.codebooks.shape[2]
         which, at = np.unique(lists, return_inverse=True)
-        dot, columns = np.take(queries @ self.centroids[which].T, at, axis=1), codes.T.astype(np.intp)
+        # Members by queries, so that a code's row of the table is copied whole.
+        dot = np.take(self.centroids[which] @ queries.T, at, axis=0)
         for s, book in enumerate(self.codebooks):
-            dot += np.take(queries[:, s * width : (s + 1) * width] @ book.T, columns[s], axis=1)
-        return 1 + offsets - 2 * dot
+            dot += np.take(book @ queries[:, s * width : (s + 1) * width].T, codes[:, s], axis=0)
+        return 1 + offsets - 2 * np.ascontiguousarray(dot.T)
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
