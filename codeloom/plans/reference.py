@@ -267,10 +267,11 @@ def returnable_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def per_file_view(spark: SparkSession, d: str) -> DataFrame:
-    """Symbols and units of each file, nested in order and shown as counts and a digest."""
-    symbols = symbols_now(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"), F.sha2(F.array_join(F.array_sort(F.collect_list("qualified_name")), "\n"), 256).alias("symbols_sha256"))
+    """Symbols and units of each file, as counts and a digest of the names that combines map-side in any order."""
+    word = F.conv(F.substring(F.sha2("qualified_name", 256), 1, 13), 16, 10).cast("decimal(20,0)")
+    symbols = symbols_now(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n_symbols"), F.sum(word).cast("string").alias("names_digest"))
     units = units_now(spark, d).groupBy("path").agg(F.count(F.lit(1)).alias("n_units"))
-    return symbols.join(units, "path", "left").select("path", "n_symbols", "symbols_sha256", F.coalesce("n_units", F.lit(0)).alias("n_units"))
+    return symbols.join(units, "path", "left").select("path", "n_symbols", "names_digest", F.coalesce("n_units", F.lit(0)).alias("n_units"))
 
 
 def table_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -326,7 +326,7 @@ WITH {_SYMBOLS}, {_EDGES}, facts AS (
 SELECT relation_id AS fact_id, depth::INTEGER AS depth, n_matches, CASE WHEN n_matches = 1 THEN least END AS target FROM matched QUALIFY row_number() OVER (PARTITION BY relation_id ORDER BY depth) = 1
 """,
     "returnable_units": f"WITH {_UNITS} SELECT qualified_name, name, kind, path, signature, sha256(source_text) AS source_sha256, start_line, end_line FROM units_now",
-    "per_file_view": f"WITH {_UNITS} SELECT path, n_symbols, symbols_sha256, coalesce(n_units, 0) AS n_units FROM (SELECT path, count(*) AS n_symbols, sha256(string_agg(qualified_name, chr(10) ORDER BY qualified_name)) AS symbols_sha256 FROM symbols_now GROUP BY path) LEFT JOIN (SELECT path, count(*) AS n_units FROM units_now GROUP BY path) USING (path)",
+    "per_file_view": f"WITH {_UNITS} SELECT path, n_symbols, names_digest, coalesce(n_units, 0) AS n_units FROM (SELECT path, count(*) AS n_symbols, sum(('0x' || substr(sha256(qualified_name), 1, 13))::BIGINT)::HUGEINT::VARCHAR AS names_digest FROM symbols_now GROUP BY path) LEFT JOIN (SELECT path, count(*) AS n_units FROM units_now GROUP BY path) USING (path)",
     "table_counts": " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS n_rows FROM {t}" for t in ("files", "file_contents", "symbols", "code_units", "relations")),
     "change_set": f"WITH {_CHANGES} SELECT repo, path, change FROM changes",
     "work_counts": f"WITH {_CHANGES} SELECT repo, count(*) FILTER (WHERE change IN ('added', 'changed')) AS n_analysed, count(*) FILTER (WHERE change = 'added') AS n_added, count(*) FILTER (WHERE change = 'changed') AS n_changed, count(*) FILTER (WHERE change = 'deleted') AS n_deleted, count(*) FILTER (WHERE change = 'unchanged') AS n_unchanged FROM changes GROUP BY repo",
