@@ -258,7 +258,9 @@ SQL = {
     "FROM orders JOIN (SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey), s AS (SELECT query_id, item, round(1e0 / (60 + a) + 1e0 / (60 + b), 9) AS score FROM r) "
     "SELECT query_id, item, round(score, 6) AS score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= 3",
     "hybrid_search": f"WITH {_hybrid(10)} SELECT query_id, item, score, rank::INTEGER AS rank FROM hybrid",
+    "hybrid_filtered": f"WITH {_hybrid(10, 'function')} SELECT query_id, item, score, rank::INTEGER AS rank FROM hybrid",
     "graph_search": f"WITH {_graph(10)} SELECT query_id, item, score, rank::INTEGER AS rank FROM graph",
+    "graph_filtered": f"WITH {_graph(10, 'method')} SELECT query_id, item, score, rank::INTEGER AS rank FROM graph",
     "graph_support": f"WITH {_graph(10)} SELECT query_id, item, support, rank::INTEGER AS rank FROM support",
     "relation_evidence": f"WITH {_graph(10)} SELECT query_id, seed, seed_rank::INTEGER AS seed_rank, item, kind, direction FROM evidence",
     "channel_rankings": f"WITH {_reranked(10)} SELECT query_id, kind, item, support, rank::INTEGER AS rank FROM channels",
